@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cinnabar.llm import bpe, host_rules, packing
+from cinnabar.llm import bpe, host_rules, lbl, packing, quality_fm
 from cinnabar.llm.common import table
 
 
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -23,9 +27,15 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_lbl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_fm": op2_quality_fm,
     "op4_bpe": op4_bpe,
     "op6_packing": op6_packing,
     "op7_host_rules": op7_host_rules,
+    "op9_lbl": op9_lbl,
 }
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cinnabar.llm import bpe, host_rules, lbl, packing, quality_fm
+from cinnabar.llm import bpe, host_rules, lbl, minhash, packing, quality_fm
 from cinnabar.llm.common import table
 
 
@@ -31,11 +31,16 @@ def op9_lbl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl.score(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_fm": op2_quality_fm,
     "op4_bpe": op4_bpe,
     "op6_packing": op6_packing,
     "op7_host_rules": op7_host_rules,
     "op9_lbl": op9_lbl,
+    "op10_minhash": op10_minhash,
 }
 ORACLES: dict[str, str] = {}

@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cinnabar.llm import bpe, host_rules, lbl, minhash, packing, quality_fm
+from cinnabar.llm import bpe, host_rules, lbl, minhash, packing, pii, quality_fm, secret_ledger
 from cinnabar.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,6 +31,10 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_lbl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl.score(table(spark, sf_dir, "documents"))
 
@@ -36,10 +44,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_quality_fm": op2_quality_fm,
     "op4_bpe": op4_bpe,
     "op6_packing": op6_packing,
     "op7_host_rules": op7_host_rules,
+    "op8_secret_ledger": op8_secret_ledger,
     "op9_lbl": op9_lbl,
     "op10_minhash": op10_minhash,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cinnabar.llm import bpe, host_rules, lbl, minhash, packing, pii, quality_fm, secret_ledger
+from cinnabar.llm import bpe, embed_join, host_rules, html_wrapper, lbl, minhash, packing, pii, quality_fm, secret_ledger
 from cinnabar.llm.common import table
 
 
@@ -19,10 +19,18 @@ def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_embed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -46,7 +54,9 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality_fm": op2_quality_fm,
+    "op3_html_wrapper": op3_html_wrapper,
     "op4_bpe": op4_bpe,
+    "op5_embed_join": op5_embed_join,
     "op6_packing": op6_packing,
     "op7_host_rules": op7_host_rules,
     "op8_secret_ledger": op8_secret_ledger,

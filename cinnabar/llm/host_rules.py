@@ -12,8 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinnabar.llm.common import salted_join, small_batches, stage
 
@@ -85,6 +86,13 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
     return rows.mapInArrow(run, f"doc_id {kind}, host string, " + ", ".join(f"{n} bigint" for n in names))
 
 
+def _failures(r: Rules) -> tuple[Column, Column]:
+    """base_failed and rule_failed from the counts."""
+    base = (F.col("n_words") < r.min_words) | (100 * F.col("n_repeat_words") > r.max_repeat_percent * F.col("n_words"))
+    soft = (10 * F.col("n_symbols") > r.max_symbols_per_10_words * F.col("n_words")) | (100 * F.col("n_dup_lines") > r.max_dup_line_percent * F.col("n_lines"))
+    return base, base | soft
+
+
 def judge(docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:  # noqa: B008
     """Per row: doc_id, the five counts, base_failed, rule_failed, host_rate (shrunk), kept.
 
@@ -94,15 +102,35 @@ def judge(docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id", text:
     """
     r = rules
     measured = features(docs, doc_id, text, host)
-    base = (F.col("n_words") < r.min_words) | (100 * F.col("n_repeat_words") > r.max_repeat_percent * F.col("n_words"))
-    soft = (10 * F.col("n_symbols") > r.max_symbols_per_10_words * F.col("n_words")) | (100 * F.col("n_dup_lines") > r.max_dup_line_percent * F.col("n_lines"))
-    rows = stage(measured.withColumn("base_failed", base).withColumn("rule_failed", base | soft), "rules")
+    base, failed = _failures(r)
+    rows = stage(measured.withColumn("base_failed", base).withColumn("rule_failed", failed), "rules")
     hosts = host_rates(rows)
     bad = hosts.where(F.col("host_rate") > r.max_host_rate).select("host", "host_rate")
     out = salted_join(rows, bad, ["host"], "left")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule_failed", "host_rate", (~F.col("rule_failed") & F.col("host_rate").isNull()).alias("kept"))
 
 
+def kept(docs: DataFrame, rules: Rules = Rules(), text: str = "text", host: str = "source") -> DataFrame:  # noqa: B008
+    """The rows of docs that `judge` keeps, with their columns.  The texts are read and measured once."""
+    small_batches(docs.sparkSession)
+    names = ["n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            rows = [measure(t or "") for t in batch.column(2).to_pylist()]
+            cols = [[r[k] for r in rows] for k in (0, 2, 3, 4, 5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], ["doc", "host", *names])
+
+    schema = T.StructType([whole.schema["doc"], whole.schema["host"], *(T.StructField(n, T.LongType()) for n in names)])
+    _, failed = _failures(rules)
+    marked = whole.mapInArrow(run, schema).withColumn("rule_failed", failed)
+    # what fails its own rules counts for its host and goes no further
+    rows = stage(marked.select(F.when(~F.col("rule_failed"), F.col("doc")).alias("doc"), "host", "rule_failed"), "rules")
+    bad = host_rates(rows.select("host", "rule_failed")).where(F.col("host_rate") > rules.max_host_rate).select("host")
+    return salted_join(rows.where(~F.col("rule_failed")), bad, ["host"], "left_anti").select("doc.*")
+
+
 def host_rates(rows: DataFrame) -> DataFrame:
     """host, n, failed, host_rate: (failed + a) / (n + a + b), the beta prior (a, b) fitted to all hosts' rates.
 

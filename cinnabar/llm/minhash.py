@@ -242,3 +242,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+def one_of_each(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
+    """The rows of docs that `near_duplicates` keeps, with their columns; of rows with one id, one.  Null ids stay."""
+    verdict = near_duplicates(docs, settings, doc_id, text).where("kept and doc_id is not null")
+    ids = stage(verdict.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "ids")
+    both = docs.join(ids, F.col(f"`{doc_id}`").cast("bigint") == F.col("_id"))
+    single, several = both.where("_n = 1"), both.where("_n > 1").dropDuplicates(["_id"])
+    return single.unionByName(several).drop("_id", "_n").unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))

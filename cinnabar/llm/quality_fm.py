@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinnabar.llm.common import small_batches
 
@@ -193,5 +194,22 @@ def score(docs: DataFrame, machine: Machine, settings: Settings = Settings(), do
     return scored.select("doc_id", F.coalesce(fold("doc_id", settings.folds) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
 
 
+def kept(docs: DataFrame, machine: Machine, settings: Settings = Settings(), text: str = "text", n_chars: str = "n_chars") -> DataFrame:  # noqa: B008
+    """The rows of docs that `score` predicts to be good, with their columns."""
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(machine)
+    size = F.col(n_chars).cast("bigint") if n_chars in docs.columns else F.lit(None).cast("bigint")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).cast("string").alias("text"), size.alias("n_chars"))
+    least = math.log(settings.threshold / (1 - settings.threshold))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            good = [m.margin(*extract(t or "", n)) >= least for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_()))], ["doc"])
+
+    return whole.mapInArrow(run, T.StructType([whole.schema["doc"]])).select("doc.*")
+
+
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     return score(docs, learn(docs, labels, settings), settings)

@@ -9,22 +9,22 @@ this length go to these bins at this offset"; each piece finds its place from it
 
 from __future__ import annotations
 
+import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from cinnabar.llm.common import small_batches, stage
 
 #: Pieces of one length are ranked in so many independent parts.
-PARTS = 256
+PARTS = 64
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -100,10 +100,8 @@ def _encoder(json_path: str, ranks_path: str, pattern: str):
     """A function text -> ids equal to the tokenizers file's.  tiktoken runs the same vocabulary five times as fast;
     the file's own library takes over for what tiktoken refuses."""
     if (json_path, ranks_path) not in _tokenizers:
-        import base64
-
-        slow = Tokenizer.from_file(json_path)
-        special = {t.content: i for i, t in slow.get_added_tokens_decoder().items()}
+        with open(json_path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("same", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
@@ -112,6 +110,9 @@ def _encoder(json_path: str, ranks_path: str, pattern: str):
             try:
                 return np.array(fast.encode(text, allowed_special="all"), np.uint32)
             except ValueError:
+                from tokenizers import Tokenizer  # heavy, and hardly ever needed
+
+                slow = Tokenizer.from_file(json_path)
                 return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
         _tokenizers[json_path, ranks_path] = encode
@@ -149,34 +150,35 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, capacit
     columns are ignored.  Full pieces are sequences by themselves.
     """
     cut = stage(pieces(docs, capacity, end, json_path, ranks_path, pattern, doc_id, text), "pieces").withColumn("_id", F.monotonically_increasing_id())
-    part = cut.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(PARTS)))
-    counts = part.where(F.col("length") < capacity).groupBy("length", "_part").count()
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = stage(counts.withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))), "ranks")
-    histogram = {r["length"]: r["n"] for r in base.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # one row a length
-    segments, bins = plan(histogram, capacity)
+    part = cut.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(PARTS)).cast("int"))
+    short = part.where(F.col("length") < capacity)
+    held = np.zeros((capacity, PARTS), np.int64)
+    for r in short.groupBy("length", "_part").count().collect():  # at most capacity * PARTS rows
+        held[r["length"], r["_part"]] = r["count"]
+    segments, bins = plan({n: int(c) for n, c in enumerate(held.sum(1))}, capacity)
     by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
     for n, *rest in segments:
         by_length[n].append(tuple(rest))
     lookup = {n: np.array(x).T for n, x in by_length.items()}
-    within = Window.partitionBy("length", "_part").orderBy("_id")
-    some = part.where(F.col("length") < capacity).withColumn("_rank", F.row_number().over(within) - 1)
-    ranked = some.join(F.broadcast(base.select("length", "_part", "_base")), ["length", "_part"])  # at most capacity * PARTS rows
+    shared = docs.sparkSession.sparkContext.broadcast((lookup, np.cumsum(held, 1) - held))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches):
-        for pdf in batches:
-            length, rank = pdf["length"].to_numpy(), pdf["_rank"].to_numpy()
-            sequence, offset = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
-            for n in np.unique(length):
-                first_rank, first_bin, each, at = lookup[n]
-                here = length == n
-                k = np.searchsorted(first_rank, rank[here], "right") - 1
-                r = rank[here] - first_rank[k]
-                sequence[here], offset[here] = first_bin[k] + r // each[k], at[k] + r % each[k] * n
-            yield pd.DataFrame({c: pdf[c] for c in columns} | {"sequence_id": sequence, "offset": offset})
+        lookup, before = shared.value
+        next_rank = before.copy()  # all pieces of a length and part come to one task, in any order
+        for batch in batches:
+            length, at = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+            for row, (n, k) in enumerate(zip(length.tolist(), at.tolist(), strict=True)):
+                rank = next_rank[n, k]
+                next_rank[n, k] = rank + 1
+                first_rank, first_bin, each, begin = lookup[n]
+                i = first_rank.searchsorted(rank, "right") - 1
+                r = rank - first_rank[i]
+                sequence[row], offset[row] = first_bin[i] + r // each[i], begin[i] + r % each[i] * n
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
     kinds = ", ".join(f"{c} {cut.schema[c].dataType.simpleString()}" for c in columns)
-    placed = ranked.select(*columns, (F.col("_base") + F.col("_rank")).cast("bigint").alias("_rank")).mapInPandas(place, f"{kinds}, sequence_id bigint, offset bigint")
+    placed = short.select(*columns, "_part").repartition("length", "_part").mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
     whole = cut.where(F.col("length") == capacity).select(*columns, (F.lit(bins) + F.col("_id")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     return placed.unionByName(whole)

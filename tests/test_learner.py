@@ -1,0 +1,105 @@
+"""Catalogs, scans and the learner on small data."""
+
+import pytest
+
+from cinnabar.operators import bindings as b
+from cinnabar.plans import theory
+from cinnabar.plans.learner import Learner, LearnerConfig
+from cinnabar.plans.model import Predicate
+from cinnabar.plans.parser import parse_clause
+from cinnabar.sources.catalog import Catalog, scan_text
+
+BROTHER = "26|522 527|66 522|26 66|527 69|9"
+PARENT = "32|26 527|522 66|522 66|587 54|527 32|69"
+UNCLE = "32|522 527|26 66|26 32|9 56|527 66|56 527|587 66|587"
+CONF = """{ // a comment
+  "target": "uncle", "background": ["brother", "parent", "nobody"],
+  "relations": [
+    {"name": "uncle", "file": "uncle", "num_positive": 4, "attributes": [{"domain_type": 1}, {"domain_type": 1}]},
+    {"name": "brother", "file": "brother", "attributes": [{"domain_type": 1}, {"domain_type": 1}]}, /* "x" */
+    {"name": "parent", "file": "parent", "attributes": [{"domain_type": 1}, {"domain_type": 1}, {"skip": true}]}
+  ],
+  "test": {"file": "uncle", "num_positive": 4}
+}"""
+
+
+@pytest.fixture(scope="module")
+def catalog(tmp_path_factory):
+    d = tmp_path_factory.mktemp("uncle")
+    (d / "uncle.json").write_text(CONF)
+    (d / "uncle").write_text("# head\n" + UNCLE.replace(" ", "\n") + "\n\n")
+    (d / "brother").write_text(BROTHER.replace(" ", "\n"))
+    (d / "parent").write_text("".join(f"{x}|note {i}\n\n" for i, x in enumerate(PARENT.split())))
+    return Catalog.load(str(d / "uncle.json"))
+
+
+def test_catalog(catalog, spark):
+    assert [e.name for e in catalog.background] == ["brother", "parent"]
+    named = catalog.predicates()
+    assert named["uncle"].id == 2 and named["parent"].types == (1, 1)
+    relations = catalog.relations(spark)
+    assert sorted(map(tuple, relations[named["parent"]].df.collect())) == sorted(tuple(map(int, x.split("|"))) for x in PARENT.split())
+    got = [(r["v0"], r["v1"], r["label"]) for r in catalog.examples(spark).collect()]
+    want = [(*map(int, x.split("|")), i < 4) for i, x in enumerate(UNCLE.split())]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize(
+    ("old", "new"),
+    [('"target": "uncle",', ""), ('"num_positive": 4, "attr', '"num_positive": 0, "attr'), ('"name": "parent"', '"name": "brother"'), ('"background": [', '"background": ["uncle", '), ('{"domain_type": 1}]', "{}]"), ('"file": "uncle", "num_positive": 4}', '"file": "uncle", "num_positive": 0}')],
+)
+def test_bad_catalogs(old, new):
+    assert old in CONF
+    with pytest.raises(ValueError):
+        Catalog.parse(CONF.replace(old, new))
+
+
+@pytest.mark.parametrize("line", ["1|2|3", "1", "8x|1", "a|1", "|1"])
+def test_bad_lines_fail_even_a_count(spark, tmp_path, line):
+    (tmp_path / "f").write_text(f"1|2\n{line}\n")
+    if line == "|1":
+        with pytest.raises(Exception):  # noqa: B017
+            scan_text(spark, str(tmp_path / "f"), (0, 0)).collect()
+        return
+    with pytest.raises(Exception):  # noqa: B017
+        scan_text(spark, str(tmp_path / "f"), (0, 0)).collect()
+
+
+def test_a_wrong_arity_fails_a_count(spark, tmp_path):
+    (tmp_path / "f").write_text("1|2\n1|2|3\n")
+    with pytest.raises(Exception):  # noqa: B017
+        scan_text(spark, str(tmp_path / "f"), (0, 0)).count()
+
+
+def test_uncle(catalog, spark):
+    learned, metrics = catalog.learn(spark)
+    assert learned.uncovered == 0 and learned.clauses
+    m = metrics.first()
+    assert (m["precision"], m["recall"]) == (1.0, 1.0)
+    rules = learned.rules_df(spark).collect()
+    assert rules[0]["clause"] == str(learned.clauses[0]) and rules[0]["literals"] == len(learned.clauses[0].body)
+
+
+def test_a_planted_rule_is_found(spark):
+    person, works, city = Predicate(0, "lives", (0, 1)), Predicate(1, "works", (0, 1)), Predicate(2, "commutes", (0,))
+    lives = [(i, i % 7) for i in range(200)]
+    work = [(i, (i * 3) % 7) for i in range(200)]
+    far = [(i, lives[i][1] == work[i][1]) for i in range(200)]
+    relations = {person: b.Relation.of(person, spark.createDataFrame(lives, "a int, c int")), works: b.Relation.of(works, spark.createDataFrame(work, "a int, c int"))}
+    rows = b.examples(spark.createDataFrame(far, "a int, label boolean"), 1)
+    learned = Learner(rows, city, [person, works], relations, LearnerConfig(max_iterations=5)).learn()
+    m = theory.metrics(learned.clauses, rows, relations).first()
+    assert m["precision"] == 1.0 and m["recall"] >= 0.8
+    truth = parse_clause("commutes(0) :- lives(0, 1), works(0, 1)", {"commutes": city, "lives": person, "works": works})
+    assert theory.metrics([truth], rows, relations).first()["recall"] == 1.0
+
+
+def test_no_negatives_is_an_error_and_no_rule_ends_the_search(spark):
+    h, q = Predicate(1, "h", (0,)), Predicate(0, "q", (0,))
+    relations = {q: b.Relation.of(q, spark.createDataFrame([(1,), (2,)], "a int"))}
+    only = b.examples(spark.createDataFrame([(1, True)], "a int, label boolean"), 1)
+    with pytest.raises(ValueError):
+        Learner(only, h, [q], relations)
+    hopeless = b.examples(spark.createDataFrame([(5, True), (6, False)], "a int, label boolean"), 1)
+    learned = Learner(hopeless, h, [q], relations).learn()
+    assert learned.clauses == [] and learned.uncovered == 1

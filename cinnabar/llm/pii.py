@@ -1,11 +1,11 @@
 """Personal data by bootstrapped contextual extraction.  DataFrame functions only.
 
-Seeds are the entities that four base patterns find and validate.  Every seed, every match that failed its
-validation and every other identifier-like word is an instance; the words around it are lexical patterns (the two
-before; the one before and the one after).  Patterns and instances form a graph that is scored in turns: a pattern
+Seeds are the entities that four base patterns find and validate.  Every seed, every decoy (a match with the form
+of its kind that fails a check), every other match and every identifier-like word is an instance; the words around it
+are lexical patterns (the two before; the one before and the one after).  Patterns and instances form a graph that is scored in turns: a pattern
 by the share of its distinct instances that are believed, an instance by the noisy-or of its patterns.  Instances
 that patterns of high confidence and enough distinct seeds vouch for are new identifiers, of the kind of the
-pattern's seeds.  Failed matches count against a pattern and are never taken.
+pattern's seeds.  Decoys count against a pattern and are never taken.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ VALID = {
         0, (a, v) -> a + coalesce(v, 0)) % 10 = 0""",
     "phone": "length(regexp_replace(x.t, '[^0-9]', '')) between 8 and 15",
 }
+#: Matches that have the form of their kind and fail its check.
+DECOY = {"email": "false", "ip": "true", "card": "length(translate(x.t, ' -', '')) between 16 and 19", "phone": "false"}
 _WORD = r"[^\x20\x09-\x0D]"
 #: A word with a digit or an at sign, tried only at its start.
 OTHER = rf"(?<!{_WORD})[^\x20\x09-\x0D0-9@]*+[0-9@]{_WORD}*+"
@@ -84,12 +86,18 @@ def detect(docs: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
             f"'p', array(concat('b ', {_before('x.before')}), concat('m ', substring_index({_before('x.before')}, ' ', -1), ' _ ', {_after('x.after')})))"
         )
 
-    every = ", ".join(f"transform(_m_{k}, x -> {instance(k, f'case when {VALID[k]} then 1 else -1 end')})" for k in KINDS)
-    overlap = " and ".join(f"not exists(_m_{k}, y -> y.s < x.e and x.s < y.e)" for k in KINDS)
     like = f"(x.t like '%@%' or length(regexp_replace(x.t, '[^0-9]', '')) >= {s.least_digits})"
-    other = f"transform(filter(_m_other, x -> {like} and {overlap}), x -> {instance('', '0')})"
+    free = " and ".join(f"not exists(_v_{k}, y -> y.s < x.e and x.s < y.e)" for k in KINDS)
+    # a match of no kind is as open as any other word, if it lies in no seed
+    parts = []
+    for k in KINDS:
+        seen = f"filter(_m_{k}, x -> {VALID[k]} or {DECOY[k]} or ({like} and {free}))"
+        parts.append(f"transform({seen}, x -> {instance(k, f'case when {VALID[k]} then 1 when {DECOY[k]} then -1 else 0 end')})")
+    overlap = " and ".join(f"not exists(_m_{k}, y -> y.s < x.e and x.s < y.e)" for k in KINDS)
+    parts.append(f"transform(filter(_m_other, x -> {like} and {overlap}), x -> {instance('', '0')})")
+    every = ", ".join(parts)
     spans = ", ".join(f"transform(_v_{k}, x -> named_struct('k', {i}, 's', x.s, 'e', x.e))" for i, k in enumerate(KINDS))
-    df = df.select("doc_id", F.expr(f"array_sort(concat({spans}))").alias("base"), F.expr(f"concat({every}, {other})").alias("instances"))
+    df = df.select("doc_id", F.expr(f"array_sort(concat({spans}))").alias("base"), F.expr(f"concat({every})").alias("instances"))
     return stage(df, "entities").withColumn("_row", F.monotonically_increasing_id())
 
 
@@ -97,7 +105,7 @@ def bootstrap(entities: DataFrame, s: Settings) -> DataFrame:
     """name, kind of the instances that the patterns discover."""
     each = entities.select(F.explode("instances").alias("i")).select("i.kind", "i.label", "i.name", F.explode("i.p").alias("pattern"))
     edges = stage(each.groupBy("pattern", "name").agg(F.min("label").alias("low"), F.max("label").alias("label"), F.max("kind").alias("kind")), "edges")
-    # a name that failed anywhere is refused
+    # a decoy anywhere is one everywhere
     edges = edges.withColumn("label", F.when(F.col("low") < 0, -1).otherwise(F.col("label")))
     by_kind = edges.groupBy("pattern").agg(
         *(F.sum(((F.col("label") == 1) & (F.col("kind") == k)).cast("int")).alias(k) for k in KINDS),

@@ -2,10 +2,10 @@
 
 Two permutations of Z mod 2^32 make the whole signature: shingles pass through the first once; coordinate k is the
 minimum of the second over the first's values shifted circularly by k.  Equal word sequences are one node from the
-start.  A node is compared first with the smallest node it shares a bucket with, which joins most of a group
-at one comparison a member.  Then buckets that still hold several components give pairs across components, the
-likeliest first and more each round, until none is left untried, so no candidate is dropped; pairs within a component need no
-comparison.  Every link is confirmed on the full shingle sets.
+start.  A node is compared first with the smallest node it shares a bucket with, which joins most of a group at one
+comparison a member.  Then, in buckets that still hold several components, every pair across components whose sizes
+and sketches allow a link is compared where it meets, once, and only the edges that connect components are written;
+pairs within a component need no comparison.  Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ class Settings:
     rows: int = 6
     #: A pair goes to verification if so many coordinates agree: 5.6 standard deviations below the threshold's mean.
     least_equal: float = 0.70
-    chunk: int = 4096  # members of a bucket that one unit of work holds
-    first_tries: int = 1  # pairs a node and bucket in the first round; 16 times as many in each later one
+    chunk: int = 4096  # members of a bucket that one unit of work holds half of, by their sketches
+    set_chunk: int = 1024  # and with their shingle sets
 
     @property
     def size(self) -> int:
@@ -93,7 +93,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def fingerprints(docs: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, key (of the word sequence), bands, sketch (a byte a coordinate)."""
+    """doc_id, n_shingles, key (of the word sequence), bands (8 bytes each), sketch (a byte a coordinate)."""
     small_batches(docs.sparkSession)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -111,17 +111,29 @@ def fingerprints(docs: DataFrame, s: Settings, doc_id: str, text: str) -> DataFr
                     for k in range(s.rows):
                         band = (band ^ sig[k :: s.rows].astype(np.uint64)) * _ODD
                         band ^= band >> np.uint64(31)
-                    got = (len(codes), key, band.view(np.int64) if words else [], sig.astype(np.uint8).tobytes() if words else b"")
+                    got = (len(codes), key, band.tobytes() if words else b"", sig.astype(np.uint8).tobytes() if words else b"")
                     if len(known) > 4096:
                         known.clear()
                     known[key] = got
                 out.append(got)
             cols = list(zip(*out, strict=True)) or [[]] * 4
-            types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(cols, types, strict=True))], ["doc_id", "n_shingles", "key", "bands", "sketch"])
+            types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], ["doc_id", "n_shingles", "key", "bands", "sketch"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return stage(rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, sketch binary"), "fingerprints")
+    return stage(rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, bands binary, sketch binary"), "fingerprints")
+
+
+def band_entries(nodes: DataFrame, s: Settings) -> DataFrame:
+    """bh, node: a row a band."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bh = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            node = np.repeat(batch.column(0).to_numpy(), s.bands)
+            yield pa.RecordBatch.from_arrays([pa.array(bh), pa.array(node)], ["bh", "node"])
+
+    return nodes.select("doc_id", "bands").mapInArrow(run, "bh bigint, node bigint")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -144,62 +156,107 @@ def verify(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "similar")
 
 
-def across(members: DataFrame, s: Settings, tries: int) -> DataFrame:
-    """Pairs of one bucket's members in different components whose sizes and sketches allow a link.
-
-    members: bh, node, comp, n, sketch, many (members of the bucket).  Returns a, b, more: a node gives its `tries`
-    likeliest partners of a bucket; more says that it has others.  Large buckets are dealt as pairs of chunks.
-    """
-    chunks = F.ceil(F.col("many") / s.chunk).cast("int")
-    at = members.withColumn("_n", chunks).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+def units(members: DataFrame, chunk: int, *carried: str) -> DataFrame:
+    """bh, lo, hi, first, then the carried columns: a bucket's members dealt as pairs of chunks, sorted by unit."""
+    sizes = members.groupBy("bh").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_n"))
+    at = members.join(sizes, "bh").withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
     dealt = at.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    unit = dealt.select("bh", F.least("_i", "_j").alias("lo"), F.greatest("_i", "_j").alias("hi"), (F.col("_i") <= F.col("_j")).alias("first"), "node", "comp", "n", "sketch")
-
-    def pairs(rows: list[tuple], square: bool) -> Iterator[tuple[int, int, bool]]:
-        left = rows if square else [r for r in rows if r[3]]
-        right = rows if square else [r for r in rows if not r[3]]
-        if not left or not right:
-            return
-        node, comp, n = (np.array([r[k] for r in right]) for k in (4, 5, 6))
-        sketch = np.frombuffer(b"".join(r[7] for r in right), np.uint8).reshape(len(right), -1)
-        for k, r in enumerate(left):
-            ok = (comp != r[5]) & (100 * np.minimum(n, r[6]) >= s.percent * np.maximum(n, r[6]))
-            if square:
-                ok[: k + 1] = False
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            equal = (sketch[at] == np.frombuffer(r[7], np.uint8)).sum(1)
-            at, equal = at[equal >= s.least_equal * s.size], equal[equal >= s.least_equal * s.size]
-            best = at[np.argsort(-equal, kind="stable")[:tries]]
-            for i in best:
-                a, b = int(node[i]), r[4]
-                yield min(a, b), max(a, b), len(at) > tries
+    unit = dealt.select("bh", F.least("_i", "_j").alias("lo"), F.greatest("_i", "_j").alias("hi"), (F.col("_i") <= F.col("_j")).alias("first"), *carried)
+    return unit.repartition("bh", "lo", "hi").sortWithinPartitions("bh", "lo", "hi")
+
+
+def by_unit(batches) -> Iterator[list[tuple]]:
+    """The rows of one unit after the other."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:3] != held[0][:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def promising(rows: list[tuple], s: Settings) -> Iterator[tuple[tuple, list[tuple]]]:
+    """A member and those it may link with across components, by size and sketch; a pair appears in the bucket of
+    its first common band only.  rows: bh, lo, hi, first, node, comp, n, sketch, bands, ..."""
+    square = rows[0][1] == rows[0][2]
+    left = rows if square else [r for r in rows if r[3]]
+    right = rows if square else [r for r in rows if not r[3]]
+    if not left or not right:
+        return
+    comp, n = np.array([r[5] for r in right]), np.array([r[6] for r in right])
+    if len(left) + len(right) > 2 and (comp == comp[0]).all() and all(r[5] == comp[0] for r in left):
+        return
+    sketch = np.frombuffer(b"".join(r[7] for r in right), np.uint8).reshape(len(right), -1)
+    bands = np.frombuffer(b"".join(r[8] for r in right), np.int64).reshape(len(right), -1)
+    for k, r in enumerate(left):
+        ok = (comp != r[5]) & (100 * np.minimum(n, r[6]) >= s.percent * np.maximum(n, r[6]))
+        if square:
+            ok[: k + 1] = False
+        at = np.flatnonzero(ok)
+        if len(at):
+            at = at[(sketch[at] == np.frombuffer(r[7], np.uint8)).sum(1) >= s.least_equal * s.size]
+        if len(at):
+            own = np.frombuffer(r[8], np.int64)
+            at = at[own[(bands[at] == own).argmax(1)] == r[0]]
+        if len(at):
+            yield r, [right[i] for i in at]
+
+
+def flagged(members: DataFrame, s: Settings) -> DataFrame:
+    """bh, node: the members of a bucket that may link across components there."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held, key, out = [], None, []
+        for rows in by_unit(batches):
+            some: set[int] = set()
+            for r, partners in promising(rows, s):
+                some.add(r[4])
+                some.update(x[4] for x in partners)
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]] * len(some), pa.int64()), pa.array(sorted(some), pa.int64())], ["bh", "node"])
+
+    carried = ["node", "comp", "n", "sketch", "bands"]
+    return units(members, s.chunk, *carried).mapInArrow(run, "bh bigint, node bigint").distinct()
 
-        def done():
-            cols = list(zip(*out, strict=True)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "more"])
 
+def link(members: DataFrame, s: Settings) -> DataFrame:
+    """Edges that connect what is similar across components; members carry their full shingle sets in `codes`."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for rows in by_unit(batches):
+            root: dict[int, int] = {}
+
+            def find(x: int, root: dict[int, int] = root) -> int:
+                while root.get(x, x) != x:
+                    root[x] = x = root.get(root[x], root[x])
+                return x
+
+            out = []
+            for r, partners in promising(rows, s):
+                codes = np.frombuffer(r[9], np.uint64)
+                for x in partners:
+                    if find(r[5]) != find(x[5]) and similar(codes, np.frombuffer(x[9], np.uint64), s.percent):
+                        root[find(r[5])] = find(x[5])
+                        out.append((r[4], x[4]))
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+    carried = ["node", "comp", "n", "sketch", "bands", "codes"]
+    return stage(units(members, s.set_chunk, *carried).mapInArrow(run, "a bigint, b bigint"), "across")
+
+
+def shingle_sets(texts: DataFrame, s: Settings) -> DataFrame:
+    """node, codes (the sorted set, 8 bytes a shingle)."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key:
-                    if held:
-                        out.extend(pairs(held, key[1] == key[2]))
-                    held, key = [], row[:3]
-                held.append(row)
-            if len(out) > 50_000:
-                yield done()
-                out.clear()
-        if held:
-            out.extend(pairs(held, key[1] == key[2]))
-        yield done()
-
-    small_batches(members.sparkSession)
-    found = unit.repartition("bh", "lo", "hi").sortWithinPartitions("bh", "lo", "hi").mapInArrow(run, "a bigint, b bigint, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+            codes = [shingles(t.encode().lower().split(), s.words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["node", "codes"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, codes binary")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
@@ -215,27 +272,27 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     named = prints.where("doc_id is not null and n_shingles > 0")
     classes = stage(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     nodes = named.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["key", "doc_id"], "left_semi")
-    entries = nodes.select(F.explode("bands").alias("bh"), F.col("doc_id").alias("node"))
+    entries = band_entries(nodes, s)
     buckets = entries.groupBy("bh").agg(F.count("*").alias("many"), F.min("node").alias("least")).where("many > 1")
     members = stage(entries.join(buckets, "bh"), "members")  # only of buckets with several nodes
     candidates = stage(members.groupBy("node").agg(F.min("least").alias("least")), "candidates")
     wanted = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).cast("string").alias("text")).where("text is not null")
     texts = stage(wanted.join(candidates, "node", "left_semi"), "texts")
-    sketches = stage(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch").join(candidates, "node", "left_semi").dropDuplicates(["node"]), "sketches")
-    links = verify(candidates.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")), texts, s)
-    tries = s.first_tries
-    while True:
-        comps = connected_components(links)
-        labelled = members.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-        mixed = labelled.groupBy("bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bh")
-        some = labelled.join(mixed, "bh", "left_semi").select("bh", "node", "comp", "many").join(sketches, "node")
-        tried = stage(across(some, s, tries), "tried")
-        found = verify(tried, texts, s)
-        links = links.unionByName(found)
-        if tried.where("more").isEmpty():
-            comps = connected_components(links)
-            break
-        tries *= 16
+    sketches = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands")
+    sketches = stage(sketches.join(candidates, "node", "left_semi").dropDuplicates(["node", "sketch"]), "sketches")
+    # rows with one id and several texts make one document
+    print_ = F.xxhash64("key")
+    several = named.groupBy("doc_id").agg(F.min(print_).alias("lo"), F.max(print_).alias("hi")).where("lo <> hi").select("doc_id")
+    same = named.join(several, "doc_id", "left_semi").join(classes, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    links = verify(candidates.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")), texts, s).unionByName(same)
+    comps = connected_components(links)
+    labelled = members.join(comps, "node", "left").select("bh", "node", F.coalesce("component", "node").alias("comp"))
+    mixed = labelled.groupBy("bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bh")
+    some = labelled.join(mixed, "bh", "left_semi").join(sketches, "node")
+    open_ = stage(flagged(some, s), "open")
+    sets = stage(shingle_sets(texts.join(open_.select("node").distinct(), "node", "left_semi"), s), "sets")
+    late = open_.join(labelled.distinct(), ["bh", "node"]).join(sketches, "node").join(sets, "node")
+    comps = connected_components(links.unionByName(link(late, s)))
     small = classes.join(comps, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"), "copies", "rep")
     moved = small.where("copies > 1 or component <> rep").select("key", "component")
     out = salted_join(prints.select("doc_id", "n_shingles", "key"), moved, ["key"], "left")
@@ -243,6 +300,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
+
 def one_of_each(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
     """The rows of docs that `near_duplicates` keeps, with their columns; of rows with one id, one.  Null ids stay."""
     verdict = near_duplicates(docs, settings, doc_id, text).where("kept and doc_id is not null")

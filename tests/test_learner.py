@@ -2,6 +2,7 @@
 
 import pytest
 
+from cinnabar.__main__ import main, options
 from cinnabar.operators import bindings as b
 from cinnabar.plans import theory
 from cinnabar.plans.learner import Learner, LearnerConfig
@@ -80,6 +81,22 @@ def test_uncle(catalog, spark):
     assert rules[0]["clause"] == str(learned.clauses[0]) and rules[0]["literals"] == len(learned.clauses[0].body)
 
 
+def test_reports(catalog, spark, capsys):
+    folder = catalog.target.file.rsplit("/", 1)[0]
+    main([f"{folder}/uncle.json", "--summary", "--max-iterations", "3", "--run-tests", "true"])
+    out, err = capsys.readouterr()
+    lines = out.strip().split("\n")
+    assert lines[1].startswith("Rules: ") and lines[2].startswith("uncle(0, 1) :-  ") and "recall: 1.0" in lines
+    row = err.strip().split("\n")[-1].split("\t")
+    assert row[:2] == ["4", "4"] and row[3:] == ["4", "0", "1.0", "1.0"]
+
+
+def test_options_cover_the_config():
+    got, config = options(["c.json", "--minimum-f-score", "0.5", "--run-tests", "false", "--memory-quota", "7"])
+    assert (config.minimum_f_score, config.run_tests, config.memory_quota, got.summary) == (0.5, False, 7, False)
+    assert options(["c.json"])[1] == LearnerConfig()
+
+
 def test_a_planted_rule_is_found(spark):
     person, works, city = Predicate(0, "lives", (0, 1)), Predicate(1, "works", (0, 1)), Predicate(2, "commutes", (0,))
     lives = [(i, i % 7) for i in range(200)]

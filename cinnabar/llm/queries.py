@@ -63,6 +63,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lbl": op9_lbl,
     "op10_minhash": op10_minhash,
 }
+def _secrets_sql() -> str:
+    """Matches with their places, from what lies between them; RE2 needs no possessive forms to stay linear."""
+    either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    keys = "|".join(either(w) for w in ("password", "passwd", "secret", "token")) + f"|{either('api')}_?{either('key')}"
+    quote = "[\"'']?"
+    assign = f"(?:{keys}){quote} *[:=] *{quote}([A-Za-z0-9+/_.=-]+)"
+    rules = [
+        ("assign", assign, f"length(regexp_extract(m, '{assign}', 1)) >= 6"),
+        ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+        ("hex", "[0-9a-f]+", "length(m) >= 24"),
+        ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "true"),
+        ("forge", r"\bgh[pousr]_[A-Za-z0-9]{36,}", "true"),
+        ("chat", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "true"),
+        ("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "true"),
+    ]
+    parts = [
+        f"""SELECT r, {k} AS k, '{kind}' AS kind, s, s + length(m) AS e FROM (
+   SELECT r, m, sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+   FROM (SELECT r, unnest(regexp_extract_all(t, '{p}', 0)) AS m, unnest(string_split_regex(t, '{p}')[:-2]) AS g, unnest(range(len(regexp_extract_all(t, '{p}', 0)))) AS i FROM docs)
+   WINDOW w AS (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING)) WHERE {ok}"""
+        for k, (kind, p, ok) in enumerate(rules)
+    ]
+    return f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+ spans AS ({' UNION ALL '.join(parts)}),
+ named AS (SELECT r, k, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS x FROM spans),
+ sums AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+   string_agg(x, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY s, k) AS spans FROM named GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN sums USING (r)"""
+
+
 _WORD = r"[^\x20\x09-\x0D]"
 _REACH = """reach(v, r) AS (SELECT v, v FROM nodes UNION SELECT reach.v, edges.b FROM reach JOIN edges ON edges.a = reach.r),
  comp AS (SELECT v, min(r) AS component_id FROM reach GROUP BY v)"""
@@ -91,6 +122,7 @@ SELECT v AS vec_id, coalesce(n, 0) AS n_links, component_id, v = component_id AS
  strength AS (SELECT m, CASE WHEN v - m * (1 - m) * i > 0 THEN least(greatest(m * (1 - m) / (v - m * (1 - m) * i) - 1, 1), n) ELSE n END AS s FROM prior),
  bad AS (SELECT host FROM hosts, strength WHERE (f + m * s) / (hosts.n + s) > 0.6)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule_failed, NOT rule_failed AND host NOT IN (SELECT host FROM bad) AS kept FROM judged""",
+    "op8_secret_ledger": _secrets_sql(),
     "op10_minhash": rf"""WITH RECURSIVE cut AS (SELECT doc_id AS v, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}+') AS w FROM documents),
  shingles AS (SELECT DISTINCT v, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT v, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM cut WHERE len(w) > 0)),
  sizes AS (SELECT v, count(*) AS n FROM shingles GROUP BY v),

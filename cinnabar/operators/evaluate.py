@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinnabar.operators.bindings import LABEL, Relations, condition, keys, matching, variables
+from cinnabar.operators.staging import stage
 from cinnabar.plans.model import Literal
 
 
@@ -41,8 +42,23 @@ def by_columns(literal: Literal, relations: Relations) -> DataFrame:
     return facts.groupBy(*(f"c{i}" for i in keys(literal).values())).agg(F.count("*").alias("m"))
 
 
-def counts_of(at: int, literal: Literal, counted: DataFrame, relations: Relations) -> DataFrame:
-    facts = by_columns(literal, relations)
+class FactCounts:
+    """Facts counted by the columns that literals bind.  They do not change while rules are learned, so each count
+    is made once, as a table, however many searches use it."""
+
+    def __init__(self, relations: Relations):
+        self.relations = relations
+        self.made: dict[tuple, DataFrame] = {}
+
+    def __call__(self, literal: Literal) -> DataFrame:
+        first = keys(literal)
+        shape = (literal.predicate, tuple(first.get(v, -1) for v in literal.terms))  # which positions are equal
+        if shape not in self.made:
+            self.made[shape] = stage(by_columns(literal, self.relations), "facts")
+        return self.made[shape]
+
+
+def counts_of(at: int, literal: Literal, counted: DataFrame, facts: DataFrame) -> DataFrame:
     both = counted.join(facts, condition(counted, facts, literal))
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     return both.agg(
@@ -54,15 +70,15 @@ def counts_of(at: int, literal: Literal, counted: DataFrame, relations: Relation
     )
 
 
-def evaluate(bindings: DataFrame, literals: Sequence[Literal], relations: Relations) -> DataFrame:
-    """literal_id (index in literals), bp, bn, p, n: one row a literal."""
+def evaluate(bindings: DataFrame, literals: Sequence[Literal], relations: Relations, facts: FactCounts | None = None) -> DataFrame:
+    """literal_id (index in literals), bp, bn, p, n: one row a literal.  `facts` keeps counts between calls."""
     shared: dict[tuple[int, ...], DataFrame] = {}
     out = None
     for at, literal in enumerate(literals):
         names = tuple(sorted(keys(literal)))
         if names not in shared:
             shared[names] = by_variables(bindings, names)
-        one = counts_of(at, literal, shared[names], relations)
+        one = counts_of(at, literal, shared[names], facts(literal) if facts else by_columns(literal, relations))
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no literals")
@@ -79,12 +95,12 @@ def evaluate_by_rows(bindings: DataFrame, literal: Literal, relations: Relations
     return hits.agg(zero(F.col("m") * pos).alias("bp"), zero(F.col("m") * (1 - pos)).alias("bn"), zero(pos).alias("p"), zero(1 - pos).alias("n"))
 
 
-def collect_counts(bindings: DataFrame, literals: Sequence[Literal], relations: Relations, at_once: int = 50) -> list[Counts]:
+def collect_counts(bindings: DataFrame, literals: Sequence[Literal], relations: Relations, facts: FactCounts | None = None, at_once: int = 50) -> list[Counts]:
     """Counts in the literals' order; a job for each `at_once` of them bounds the plan."""
     out: list[Counts] = []
     for start in range(0, len(literals), at_once):
         part = literals[start : start + at_once]
-        rows = {r["literal_id"]: r for r in evaluate(bindings, part, relations).collect()}  # a row a literal
+        rows = {r["literal_id"]: r for r in evaluate(bindings, part, relations, facts).collect()}  # a row a literal
         out += [Counts(x, rows[i]["bp"], rows[i]["bn"], rows[i]["p"], rows[i]["n"]) for i, x in enumerate(part)]
     return out
 
@@ -94,4 +110,4 @@ def label_counts(bindings: DataFrame) -> tuple[int, int]:
     return r["p"], r["n"]
 
 
-__all__ = ["Counts", "by_columns", "by_variables", "collect_counts", "evaluate", "evaluate_by_rows", "label_counts", "variables"]
+__all__ = ["Counts", "FactCounts", "by_columns", "by_variables", "collect_counts", "evaluate", "evaluate_by_rows", "label_counts", "variables"]

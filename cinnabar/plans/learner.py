@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cinnabar.functions.scores import f1
 from cinnabar.operators import bindings as b
-from cinnabar.operators.evaluate import Counts, collect_counts, label_counts
+from cinnabar.operators.evaluate import Counts, FactCounts, collect_counts, label_counts
 from cinnabar.operators.staging import stage
 from cinnabar.plans.candidates import Search, enumerate_candidates
 from cinnabar.plans.model import Clause, Literal, Predicate
@@ -88,6 +88,7 @@ class Learner:
         """examples: v0, ..., label."""
         self.config, self.target, self.relations = config, target, relations
         self.background = list(background)
+        self.facts = FactCounts(relations)
         self.timers: dict[str, float] = {}
         self.examples = self.timed("load", stage, examples, "examples")
         positives, self.num_negative = label_counts(self.examples)
@@ -141,7 +142,7 @@ class Learner:
         c = self.config
         search, left = self.timed("enumerate", enumerate_candidates, state.clause, self.background, state.stats)
         literals = sorted((x for p in left for x in left[p]), key=lambda x: (x.terms[x.join_key], self.background.index(x.predicate)))
-        counts = self.timed("evaluate", collect_counts, state.bindings, literals, self.relations)
+        counts = self.timed("evaluate", collect_counts, state.bindings, literals, self.relations, self.facts)
         bridges = sum(state.clause.random) < c.maximum_random_literals and len(state.blacklist) < c.maximum_random_trials and state.P // max(state.num_uncovered, 1) < 50
         selector = Selector(state.clause, state.P, state.N, state.num_uncovered, state.blacklist, c.num_saved_literals, c.random_margin, bridges)
         for x in counts:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cinnabar.functions.scores import area, area_column, f1, f1_column, mcc, mcc_column, score, score_column
 from cinnabar.operators import bindings as b
 from cinnabar.operators import partitioning
-from cinnabar.operators.evaluate import by_variables, collect_counts, evaluate_by_rows, label_counts
+from cinnabar.operators.evaluate import FactCounts, by_variables, collect_counts, evaluate_by_rows, label_counts
 from cinnabar.plans import theory
 from cinnabar.plans.model import UNBOUND, Clause, Literal, Predicate
 
@@ -70,6 +70,16 @@ def test_factorised_counts_equal_the_exploded_join(world):
         assert (c.bp, c.bn, c.p, c.n) == tuple(one), c.literal
 
 
+def test_kept_fact_counts_give_the_same_and_are_made_once(world):
+    two = b.extend(world["examples"], Literal(E, (0, UNBOUND)), world["relations"])
+    facts = FactCounts(world["relations"])
+    want = collect_counts(two, literals(), world["relations"])
+    assert collect_counts(two, literals(), world["relations"], facts) == want
+    made = dict(facts.made)
+    assert len(made) == 5  # edge by either column, by both, by both equal; mark
+    assert collect_counts(two, literals(), world["relations"], facts) == want and facts.made == made
+
+
 def test_counts_without_any_match_are_zero(spark, world):
     far = b.examples(spark.createDataFrame([(100, True), (101, False)], "x int, label boolean"), 1)
     (c,) = collect_counts(far, [Literal(Q, (0,))], world["relations"])

@@ -7,13 +7,9 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that end a word: space and \t \n \v \f \r.  ``bytes.split()`` splits at exactly these.
-SPACES = " \t\n\x0b\x0c\r"
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,16 +34,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
-    """Equi-join where a key may hold a large share of left's rows: left's rows are dealt over salts, right's
-    (few rows a key) are repeated for each.  ``how`` may be inner, left, left_semi or left_anti; nulls match nothing."""
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 32, most: int = 20_000, staged: bool = False) -> DataFrame:
+    """Equi-join where a key may hold a large share of left's rows, and few of right's.
+
+    Up to `most` rows, right is broadcast, after a count.  Beyond, left's rows are dealt over salts and right's
+    repeated for each, so that no task gets all of a hot key.  `staged` says that right is a table already; else it
+    is made one, as it is read twice.  ``how`` may be inner, left, left_semi or left_anti; nulls match nothing.
+    """
+    right = right if staged else stage(right, "side")
+    if right.count() <= most:
+        return left.join(F.broadcast(right), on, how)
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
-def token_bytes(text: str | None) -> list[bytes]:
-    return text.encode().split() if text else []
+    # a side that looks small before it is repeated must not be broadcast for it
+    return spread.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,18 +94,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     label = stage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("component")), "label")
     while True:
-        near = salted_join(both, label.select(F.col("node").alias("v"), "component"), ["v"]).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
+        near = salted_join(both, label.select(F.col("node").alias("v"), "component"), ["v"], staged=True).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
         low = label.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("at"))
-        jump = salted_join(low, label.select(F.col("node").alias("at"), F.col("component").alias("far")), ["at"])
+        jump = salted_join(low, label.select(F.col("node").alias("at"), F.col("component").alias("far")), ["at"], staged=True)
         new = stage(jump.select("node", "was", F.least("at", "far").alias("component")), "label")
         if new.where("was <> component").isEmpty():
             return new.select("node", "component")
         label = new.select("node", "component")
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -140,7 +140,7 @@ def find(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id
     new = bootstrap(entities, settings)
     places = entities.select("_row", F.explode("instances").alias("i")).where("i.label = 0").select("_row", "i.name", "i.s", "i.e")
     order = F.array(*(F.lit(k) for k in KINDS))
-    added = salted_join(places, new, ["name"]).groupBy("_row").agg(F.collect_list(F.struct((F.array_position(order, F.col("kind")) - 1).cast("int").alias("k"), "s", "e")).alias("added"))
+    added = salted_join(places, new, ["name"], staged=True).groupBy("_row").agg(F.collect_list(F.struct((F.array_position(order, F.col("kind")) - 1).cast("int").alias("k"), "s", "e")).alias("added"))
     out = entities.select("_row", "doc_id", "base").join(added, "_row", "left")
     every = F.array_sort(F.concat("base", F.coalesce("added", F.expr("cast(array() as array<struct<k: int, s: int, e: int>>)"))))
 

@@ -44,11 +44,12 @@ def test_connected_components(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join(spark, how):
+@pytest.mark.parametrize("most", [0, 20_000])
+def test_salted_join(spark, how, most):
     left = spark.createDataFrame([("hot", i) for i in range(300)] + [(None, 1), ("cold", 2)], "k string, x int")
     right = spark.createDataFrame([("hot", 9), ("other", 8)], "k string, y int")
     want = left.join(right, ["k"], how)
-    got = salted_join(left, right, ["k"], how)
+    got = salted_join(left, right, ["k"], how, most=most)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
@@ -263,7 +264,7 @@ def test_pages(spark):
     body = [f"<p>Paragraph {i} &amp; <b>more</b>\n  text &lt;{i}&gt;&nbsp;here<br>and on" for i in range(5)]
     rows = [(i, f"http://Host.example/{i}", page(f"T{i}", [f"<h2>Title {i}</h2>", *body[: 1 + i % 5], f"<p>Unique {i}</p>"], "<section id=comments><p>first!</p></section><aside>ads</aside><form><p>Name</p><input></form>")) for i in range(8)]
     article = "<body><nav><a href=x>x</a></nav><p>outside</p><article><h1>A &amp; B</h1><p>one<p>two <i>three</i><div class='ad'>buy</div><header>in</header><ul><li>l1<li>l2</ul><footer>by</footer></article><p>after"
-    rows += [(100, "https://single.example/x?y#z", article), (101, None, "<p>no host"), (102, "not a url", None), (103, "http://e.example/", ""), (104, "http://e.example/", "plain &eacute; text"), (100, "https://single.example/x?y#z", article), (None, "http://e.example/", "<div hidden>no</div><table><tr><td>c1<td>c2</table><!-- <p>no -->"), (105, "http://d.example/", "<div>" * 3000 + "deep")]
+    rows += [(100, "https://single.example/x?y#z", article), (101, None, "<p>no host"), (102, "not a url", None), (103, "http://e.example/", ""), (104, "http://e.example/", "plain &eacute; text"), (100, "https://single.example/x?y#z", article), (None, "http://e.example/", "<div hidden>no</div><table><tr><td>c1<td>c2</table><!-- <p>no -->"), (105, "http://d.example/", "<div>" * 3000 + "deep"), (106, "http://f.example/", "<div class=site-header>top</div><article data-hidden=1 title='a hidden id=ad'><div class='post-header'><h1>T</h1></div><p style='display: none'>no<p>yes</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     out = html_wrapper.extract(df).collect()
     got = {r["page_id"]: r["text"] for r in out}
@@ -273,7 +274,7 @@ def test_pages(spark):
         assert got[i] == "\n".join(want)
     assert got[100] == "A & B\none\ntwo three\nin\nl1\nl2"
     assert (got[101], got[102], got[103], got[104], got[None]) == ("no host", "", "", "plain é text", "c1\nc2")
-    assert got[105] == "deep"
+    assert got[105] == "deep" and got[106] == "T\nyes"
     assert html_wrapper.extract(df.where("false")).count() == 0
 
 

@@ -34,7 +34,7 @@ class Settings:
     held_out: int = 2
     own_class: int = 191  # frequent words with a class of their own; class 0 is the end
     #: Words with the highest counts go to every worker, at most so many; the others' counts come by a join.
-    frequent: int = 400_000
+    frequent: int = 200_000
     factors: int = 24
     shards: int = 12
     rounds: int = 3
@@ -61,7 +61,7 @@ class _Classes(dict):
         self.own, self.s = own, s
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
             self.update(self.own)
         at = self[word] = ending(word, self.s)
@@ -85,7 +85,7 @@ def count_words(texts: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 some.update(words(t))
-            if len(some) > 300_000:
+            if len(some) > 200_000:
                 yield out()
                 some.clear()
         yield out()
@@ -126,7 +126,7 @@ def count_trigrams(texts: DataFrame, own: dict[bytes, int], s: Settings) -> Data
             for t in batch.column(0).to_pylist():
                 held.append(codes(np.fromiter(map(get, words(t)), np.int32)))
                 size += len(held[-1])
-                if size > 1 << 22:
+                if size > 1 << 20:
                     yield out()
                     held, size = [], 0
         if held:

@@ -111,7 +111,10 @@ def judge(docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id", text:
 
 
 def kept(docs: DataFrame, rules: Rules = Rules(), text: str = "text", host: str = "source") -> DataFrame:  # noqa: B008
-    """The rows of docs that `judge` keeps, with their columns.  The texts are read and measured once."""
+    """The rows of docs that `judge` keeps, with their columns.
+
+    The texts are measured twice, for the hosts and for themselves, which costs less than writing them once more.
+    """
     small_batches(docs.sparkSession)
     names = ["n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).cast("string").alias("text"))
@@ -124,11 +127,9 @@ def kept(docs: DataFrame, rules: Rules = Rules(), text: str = "text", host: str
 
     schema = T.StructType([whole.schema["doc"], whole.schema["host"], *(T.StructField(n, T.LongType()) for n in names)])
     _, failed = _failures(rules)
-    marked = whole.mapInArrow(run, schema).withColumn("rule_failed", failed)
-    # what fails its own rules counts for its host and goes no further
-    rows = stage(marked.select(F.when(~F.col("rule_failed"), F.col("doc")).alias("doc"), "host", "rule_failed"), "rules")
-    bad = host_rates(rows.select("host", "rule_failed")).where(F.col("host_rate") > rules.max_host_rate).select("host")
-    return salted_join(rows.where(~F.col("rule_failed")), bad, ["host"], "left_anti").select("doc.*")
+    hosts = host_rates(features(docs, docs.columns[0], text, host).select("host", failed.alias("rule_failed")))
+    bad = hosts.where(F.col("host_rate") > rules.max_host_rate).select("host")
+    return salted_join(whole.mapInArrow(run, schema).where(~failed), bad, ["host"], "left_anti").select("doc.*")
 
 
 def host_rates(rows: DataFrame) -> DataFrame:

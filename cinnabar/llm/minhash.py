@@ -33,6 +33,7 @@ class Settings:
     least_equal: float = 0.70
     chunk: int = 4096  # members of a bucket that one unit of work holds half of, by their sketches
     set_chunk: int = 1024  # and with their shingle sets
+    broadcast_ids: int = 1_000_000  # more ids than this meet the texts in a shuffle
 
     @property
     def size(self) -> int:
@@ -277,7 +278,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     members = stage(entries.join(buckets, "bh"), "members")  # only of buckets with several nodes
     candidates = stage(members.groupBy("node").agg(F.min("least").alias("least")), "candidates")
     wanted = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).cast("string").alias("text")).where("text is not null")
-    texts = stage(wanted.join(candidates, "node", "left_semi"), "texts")
+    texts = stage(salted_join(wanted, candidates.select("node"), ["node"], "left_semi", salts=1, most=s.broadcast_ids, staged=True), "texts")
     sketches = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands")
     sketches = stage(sketches.join(candidates, "node", "left_semi").dropDuplicates(["node", "sketch"]), "sketches")
     # rows with one id and several texts make one document
@@ -303,8 +304,13 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
     """The rows of docs that `near_duplicates` keeps, with their columns; of rows with one id, one.  Null ids stay."""
-    verdict = near_duplicates(docs, settings, doc_id, text).where("kept and doc_id is not null")
-    ids = stage(verdict.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "ids")
-    both = docs.join(ids, F.col(f"`{doc_id}`").cast("bigint") == F.col("_id"))
-    single, several = both.where("_n = 1"), both.where("_n > 1").dropDuplicates(["_id"])
-    return single.unionByName(several).drop("_id", "_n").unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
+    s, id_ = settings, F.col(f"`{doc_id}`").cast("bigint")
+    verdict = near_duplicates(docs, s, doc_id, text).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    marked = stage(verdict.where("not kept or n > 1"), "verdict")
+    rows = docs.withColumn("_id", id_)
+
+    def part(ids: DataFrame, how: str) -> DataFrame:
+        return salted_join(rows, ids.select("_id"), ["_id"], how, salts=1, most=s.broadcast_ids)
+
+    single, several = part(marked, "left_anti"), part(marked.where("kept"), "left_semi").dropDuplicates(["_id"])
+    return single.select(*docs.columns).unionByName(several.select(*docs.columns))

@@ -3,8 +3,8 @@
 The model predicts a word's class from the two classes before it: p(class | context) is a softmax of q . h + b,
 where h = c1 * r1 + c2 * r2 combines the context's vectors.  The most frequent words are classes of their own,
 all others share the class of their ending, in which a word's share follows its smoothed count.  Training sees the
-whole corpus as counts of class trigrams: each shard runs NCE in numpy from the same start, and the shards'
-parameters are averaged.  Scoring normalises every context at once with batched matrix products.
+whole corpus as counts of class trigrams: each shard runs NCE in numpy from the same start, a round passes over all
+of its trigrams by their counts, and the shards' parameters are averaged.  Scoring normalises every context at once with batched matrix products.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ class Settings:
     factors: int = 24
     shards: int = 12
     rounds: int = 3
-    steps: int = 150
+    steps: int = 150  # batches a round at least: a small shard is passed over more than once
     batch: int = 2048
     noise: int = 48
     rate: float = 0.15
@@ -172,26 +172,40 @@ class Model:
         return out
 
 
+def passes(n: np.ndarray, s: Settings, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers in the order of training, and their weights: whole passes over all rows.
+
+    In a pass a row's weights add up to its count over the mean count.  A count above the mean is dealt over several
+    places, so that no weight exceeds one; a pass has at most twice as many places as rows.
+    """
+    share = n / n.mean()
+    places = np.ceil(share).astype(np.int64)
+    once = np.repeat(np.arange(len(n), dtype=np.int32), places)
+    order = np.concatenate([rng.permutation(once) for _ in range(-(-s.steps * s.batch // len(once)))])
+    return order, (share / places).astype(np.float32)[order]
+
+
 def nce(model: Model, code: np.ndarray, n: np.ndarray, noise_p: np.ndarray, s: Settings, seed: int) -> Model:
-    """Mini-batch NCE on trigrams drawn by their counts; a batch shares its noise, so all scores are matrix products."""
+    """Mini-batch NCE on all trigrams, weighted by their counts; a batch shares its noise, so all scores are matrix products."""
     rng = np.random.default_rng(seed)
-    cumulative = np.cumsum(n, dtype=np.float64)
+    order, weight = passes(n, s, rng)
     m = Model.of(model.flat().astype(np.float32), s.factors)
     sums = [np.full_like(x, 1e-3) for x in (m.context, m.near, m.far, m.target, m.bias)]
     log_noise = np.log(s.noise * noise_p).astype(np.float32)
-    for _ in range(s.steps):
-        drawn = code[np.searchsorted(cumulative, rng.random(s.batch) * cumulative[-1], "right").clip(0, len(code) - 1)]
+    for first in range(0, len(order), s.batch):
+        drawn = code[order[first : first + s.batch]]
+        by = weight[first : first + s.batch] / s.batch
         c2, c1, w = drawn >> 16, drawn >> 8 & 255, drawn & 255
         r1, r2 = m.context[c1], m.context[c2]
         h = r1 * m.near + r2 * m.far
         k = rng.choice(CLASSES, s.noise, p=noise_p)
         pos = (h * m.target[w]).sum(1) + m.bias[w] - log_noise[w]
         neg = h @ m.target[k].T + m.bias[k] - log_noise[k]
-        e_pos = (1 / (1 + np.exp(-pos)) - 1).astype(np.float32) / s.batch  # d loss / d score
-        e_neg = (1 / (1 + np.exp(-neg))).astype(np.float32) / s.batch
+        e_pos = (1 / (1 + np.exp(-pos)) - 1).astype(np.float32) * by  # d loss / d score
+        e_neg = (1 / (1 + np.exp(-neg))).astype(np.float32) * by[:, None]
         dh = e_pos[:, None] * m.target[w] + e_neg @ m.target[k]
-        one = np.zeros((CLASSES, s.batch), np.float32)
-        at = np.arange(s.batch)
+        one = np.zeros((CLASSES, len(drawn)), np.float32)
+        at = np.arange(len(drawn))
         one[w, at] = e_pos
         d_target, d_bias = one @ h, one.sum(1)
         np.add.at(d_target, k, e_neg.T @ h)

@@ -145,6 +145,17 @@ def test_the_model_beats_the_base_on_held_out_documents(scored):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_every_trigram_trains_whatever_its_count():
+    s = lbl.Settings(steps=1, batch=16)
+    code = np.arange(1, 200) << 8 | np.arange(1, 200)
+    n = np.where(code == code[0], 10**9, 1)
+    before = lbl.start(np.full(lbl.CLASSES, 1 / lbl.CLASSES), s)
+    after = lbl.nce(before, code, n, np.full(lbl.CLASSES, 1 / lbl.CLASSES), s, 1)
+    assert (after.context != before.context.astype(np.float32)).any(1)[:200].all()
+    order, weight = lbl.passes(n, s, np.random.default_rng(0))
+    assert np.allclose(np.bincount(order, weight), n / n.mean()) and weight.max() <= 1 and len(order) <= 2 * len(n)
+
+
 def test_the_table_is_normalised():
     s = lbl.Settings()
     table = lbl.start(np.full(lbl.CLASSES, 1 / lbl.CLASSES), s).table()

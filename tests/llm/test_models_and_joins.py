@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -289,6 +290,13 @@ def test_pages(spark):
     assert html_wrapper.extract(df.where("false")).count() == 0
 
 
+def test_copies_take_one_place_of_a_sample():
+    rows = [("h", 1, "copy")] * 20 + [("h", 2 + i, f"page {i}") for i in range(20)] + [("h", 1, "copy")] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["host", "hash", "html"])
+    got = [k for out in html_wrapper._smallest(html_wrapper.Settings())([batch]) for k in out.column(1).to_pylist()]
+    assert sorted(got) == list(range(1, 9))
+
+
 # pipeline
 
 

@@ -297,6 +297,12 @@ def test_copies_take_one_place_of_a_sample():
     assert sorted(got) == list(range(1, 9))
 
 
+def test_deep_pages_take_the_same_path(spark):
+    deep = "<title>T</title><nav><a href=x>menu</a></nav><script>var x = 1</script>" + "<div>" * 20_000
+    df = spark.createDataFrame([(i, "http://h.example/", f"{deep}<p>main text {i}<footer>foot</footer><p>more{i}") for i in range(3)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_wrapper.extract(df).collect()} == {i: f"main text {i}\nmore{i}" for i in range(3)}
+
+
 # pipeline
 
 

@@ -303,6 +303,13 @@ def test_deep_pages_take_the_same_path(spark):
     assert {r["page_id"]: r["text"] for r in html_wrapper.extract(df).collect()} == {i: f"main text {i}\nmore{i}" for i in range(3)}
 
 
+def test_a_text_on_some_pages_is_template(spark):
+    notice = lambda i: "<div class=x><p>Get the paper</div>" if i % 10 == 0 else ""
+    rows = [(i, "http://h.example/", f"<body>{notice(i)}<div><p>Text {i}</div>") for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text {i}" for i in range(60)}
+
+
 # pipeline
 
 

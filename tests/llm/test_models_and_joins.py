@@ -310,6 +310,12 @@ def test_a_text_on_some_pages_is_template(spark):
     assert got == {i: f"Text {i}" for i in range(60)}
 
 
+def test_template_inside_an_article(spark):
+    rows = [(i, "http://h.example/", f"<body><article><p>Text {i}<div class=x>Get the paper</div><p>More {i}</article>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text {i}\nMore {i}" for i in range(12)}
+
+
 # pipeline
 
 

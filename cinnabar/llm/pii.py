@@ -1,11 +1,13 @@
 """Personal data by bootstrapped contextual extraction.  DataFrame functions only.
 
 Seeds are the entities that four base patterns find and validate.  Every seed, every decoy (a match with the form
-of its kind that fails a check), every other match and every identifier-like word is an instance; the words around it
-are lexical patterns (the two before; the one before and the one after).  Patterns and instances form a graph that is scored in turns: a pattern
-by the share of its distinct instances that are believed, an instance by the noisy-or of its patterns.  Instances
-that patterns of high confidence and enough distinct seeds vouch for are new identifiers, of the kind of the
-pattern's seeds.  Decoys count against a pattern and are never taken.
+of its kind that fails a check), every other match and every identifier-like word is an instance; the words around
+it, with 0 for their digits, are lexical patterns: the two before, the one before and the one after, the two after.
+Patterns and instances form a graph that is scored in turns.  A pattern's score is the share of its distinct instances
+that are believed, or of all words that stand in its place in the corpus, whichever is less: a phrase that any word may
+follow proves nothing.  An instance is believed if it is a seed or the noisy-or of its patterns is high.  Those newly
+believed are the next turn's evidence for patterns with too few seeds, until a turn finds none.  Decoys count against a
+pattern and are never taken.
 """
 
 from __future__ import annotations
@@ -45,24 +47,32 @@ OTHER = rf"(?<!{_WORD})[^\x20\x09-\x0D0-9@]*+[0-9@]{_WORD}*+"
 
 @dataclass(frozen=True)
 class Settings:
-    turns: int = 3
-    least_seeds: int = 5  # distinct seeds that a pattern needs
+    least_seeds: int = 5  # distinct believed instances that a pattern needs
     least_pattern: float = 0.8
     least_instance: float = 0.9
     least_digits: int = 6  # of an identifier-like word without an at sign
+    broadcast: int = 20_000  # more patterns than this meet the counts of all phrases in a shuffle
 
 
-def _before(gap: str) -> str:
-    """SQL: the last two words of the text before, lower-cased, from its last 80 characters, which bound a pattern."""
-    return f"lower(substring_index(trim(translate(right({gap}, 80), '\t\n\x0b\x0c\r', '     ')), ' ', -2))"
+_GAP = r"[\x20\x09-\x0D]"
+#: The two words at the start of a text; anchored and possessive, so it reads no further.
+_TWO = rf"^{_GAP}*+({_WORD}++)?+(?:{_GAP}++({_WORD}++))?+"
 
 
-def _after(gap: str) -> str:
-    return f"lower(substring_index(ltrim(translate(left({gap}, 40), '\t\n\x0b\x0c\r', '     ')), ' ', 1))"
+def _word(text: str, k: int) -> str:
+    return f"regexp_replace(lower(regexp_extract({text}, r'{_TWO}', {k})), '[0-9]', '0')"
+
+
+def _patterns(x: str) -> str:
+    """SQL: the patterns of a match; those with a word missing are left out."""
+    near = f"reverse({x}.before)"
+    words = f"named_struct('b1', reverse({_word(near, 1)}), 'b2', reverse({_word(near, 2)}), 'a1', {_word(x + '.after', 1)}, 'a2', {_word(x + '.after', 2)})"
+    made = "filter(array(if(w.b1 <> '' and w.b2 <> '', concat('b ', w.b2, ' ', w.b1), ''), if(w.b1 <> '' and w.a1 <> '', concat('m ', w.b1, ' ', w.a1), ''), if(w.a1 <> '' and w.a2 <> '', concat('a ', w.a1, ' ', w.a2), '')), p -> p <> '')"
+    return f"transform(array({words}), w -> {made})[0]"
 
 
 def detect(docs: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
-    """_row, doc_id, base (spans by kind), instances, staged.  The one pass over the texts."""
+    """_row, doc_id, base (spans by kind), instances, staged.  Rows are numbered in the table, not on each read of it."""
     df = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     hints: dict[str, Column] = {
         "email": F.col("text").contains("@"),
@@ -83,7 +93,7 @@ def detect(docs: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
     def instance(kind: str, label: str) -> str:
         return (
             f"named_struct('kind', '{kind}', 'label', {label}, 's', x.s, 'e', x.e, 'name', lower(x.t), "
-            f"'p', array(concat('b ', {_before('x.before')}), concat('m ', substring_index({_before('x.before')}, ' ', -1), ' _ ', {_after('x.after')})))"
+            f"'p', {_patterns('x')})"
         )
 
     like = f"(x.t like '%@%' or length(regexp_replace(x.t, '[^0-9]', '')) >= {s.least_digits})"
@@ -98,54 +108,91 @@ def detect(docs: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
     every = ", ".join(parts)
     spans = ", ".join(f"transform(_v_{k}, x -> named_struct('k', {i}, 's', x.s, 'e', x.e))" for i, k in enumerate(KINDS))
     df = df.select("doc_id", F.expr(f"array_sort(concat({spans}))").alias("base"), F.expr(f"concat({every})").alias("instances"))
-    return stage(df, "entities").withColumn("_row", F.monotonically_increasing_id())
+    return stage(df.withColumn("_row", F.monotonically_increasing_id()), "entities")
+
 
+def fillers(docs: DataFrame, patterns: DataFrame, s: Settings, text: str) -> DataFrame:
+    """pattern, fillers: how often any word stands in a pattern's place.  patterns (pattern) is staged."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(F.col(text).cast("string"), "[0-9]", "0")), f"{_GAP}+"), lambda w: w != "")
+    phrase = lambda kind, k, gap: F.expr(f"transform(sequence(1, greatest(size(w) - 2, 0), 1), i -> concat('{kind} ', element_at(w, i + {k}), ' ', element_at(w, i + {k + gap})))")
+    three = docs.select(words.alias("w")).where(F.size("w") > 2)
+    every = three.select(F.explode(F.concat(phrase("b", 0, 1), phrase("m", 0, 2), phrase("a", 1, 1))).alias("pattern"))
+    if patterns.count() <= s.broadcast:
+        return every.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("fillers"))
+    return every.groupBy("pattern").agg(F.count("*").alias("fillers")).join(patterns, "pattern", "left_semi")
 
-def bootstrap(entities: DataFrame, s: Settings) -> DataFrame:
-    """name, kind of the instances that the patterns discover."""
+
+def graph(docs: DataFrame, entities: DataFrame, s: Settings, text: str) -> DataFrame | None:
+    """pattern, name, n, label, kind, fillers, staged: the edges of patterns that could come to count, None without any."""
     each = entities.select(F.explode("instances").alias("i")).select("i.kind", "i.label", "i.name", F.explode("i.p").alias("pattern"))
-    edges = stage(each.groupBy("pattern", "name").agg(F.min("label").alias("low"), F.max("label").alias("label"), F.max("kind").alias("kind")), "edges")
-    # a decoy anywhere is one everywhere
-    edges = edges.withColumn("label", F.when(F.col("low") < 0, -1).otherwise(F.col("label")))
-    by_kind = edges.groupBy("pattern").agg(
-        *(F.sum(((F.col("label") == 1) & (F.col("kind") == k)).cast("int")).alias(k) for k in KINDS),
-        F.sum((F.col("label") == 1).cast("int")).alias("seeds"),
-        F.sum((F.col("label") == 0).cast("int")).alias("open"),
-    )
-    best = F.greatest(*KINDS)
-    kind = F.coalesce(*(F.when(F.col(k) == best, F.lit(k)) for k in KINDS)).alias("pattern_kind")
-    # without an open instance a pattern discovers nothing; without enough seeds it never counts
-    useful = by_kind.where((F.col("seeds") >= s.least_seeds) & (F.col("open") > 0)).select("pattern", kind)
-    graph = stage(salted_join(edges.select("pattern", "name", "label"), useful, ["pattern"]), "graph")
-    belief = graph.select("name", F.when(F.col("label") == 1, 1.0).otherwise(0.0).alias("belief")).distinct()
-    for _ in range(s.turns):
-        scored = graph.join(belief, "name").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + 1)).alias("score"))
-        vouch = graph.join(scored, "pattern").groupBy("name").agg(F.max("label").alias("label"), (1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("or"))
-        belief = stage(vouch.select("name", F.when(F.col("label") == 1, 1.0).when(F.col("label") < 0, 0.0).otherwise(F.col("or")).alias("belief")), "belief")
-    scored = graph.join(belief, "name").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + 1)).alias("score"))
-    strong = scored.where(F.col("score") >= s.least_pattern)
-    chosen = graph.where("label = 0").join(strong, "pattern").join(belief.where(F.col("belief") >= s.least_instance), "name")
-    return stage(chosen.groupBy("name").agg(F.max_by("pattern_kind", F.struct("score", "pattern")).alias("kind")), "discovered")
+    edges = stage(each.groupBy("pattern", "name").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("label"), F.max("kind").alias("kind")), "edges")
+    # without an open instance a pattern discovers nothing; without enough instances it never counts
+    able = edges.groupBy("pattern").agg(F.count_if(F.col("low") >= 0).alias("names"), F.count_if((F.col("label") == 0) & (F.col("low") == 0)).alias("open"))
+    able = stage(able.where((F.col("names") >= s.least_seeds) & (F.col("open") > 0)).select("pattern"), "patterns")
+    if able.isEmpty():
+        return None
+    some = stage(salted_join(edges, able, ["pattern"], staged=True), "some")
+    # a name is what it is in all of its places: a decoy in one is one in the others
+    names = some.groupBy("name").agg(F.when(F.min("low") < 0, -1).otherwise(F.max("label")).alias("label"), F.max("kind").alias("kind"))
+    counted = fillers(docs, able, s, text)
+    return stage(salted_join(salted_join(some.select("pattern", "name", "n"), names, ["name"]), counted, ["pattern"], "left"), "graph")
+
+
+def bootstrap(edges: DataFrame, s: Settings) -> DataFrame:
+    """name, kind of the instances that the patterns discover; turns go on until none is new."""
+    best = F.greatest(*(F.col(f"_{k}") for k in KINDS))
+    kind = F.coalesce(*(F.when(F.col(f"_{k}") == best, F.lit(k)) for k in KINDS))
+    found, many = None, 0
+    while True:
+        if found is None:
+            rows = edges.withColumn("as", F.when(F.col("label") == 1, F.col("kind")))
+        else:
+            both = salted_join(edges, found.withColumnRenamed("kind", "taken"), ["name"], "left", staged=True)
+            rows = both.withColumn("as", F.when(F.col("label") == 1, F.col("kind")).otherwise(F.col("taken")))
+        believed = F.col("as").isNotNull()
+        stats = rows.groupBy("pattern").agg(
+            *(F.count_if(F.col("as") == k).alias(f"_{k}") for k in KINDS),
+            F.count_if(believed).alias("believed"),
+            F.count("*").alias("names"),
+            F.sum(F.when(believed, F.col("n")).otherwise(0)).alias("believed_n"),
+            F.greatest(F.max("fillers"), F.sum("n")).alias("places"),
+        )
+        score = F.least(F.col("believed") / (F.col("names") + 1), F.col("believed_n") / F.col("places"))
+        strong = stats.select("pattern", "believed", score.alias("score"), kind.alias("as")).where((F.col("believed") >= s.least_seeds) & (F.col("score") >= s.least_pattern))
+        vouched = salted_join(edges.where("label = 0").select("pattern", "name"), strong.drop("believed"), ["pattern"])
+        belief = vouched.groupBy("name").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("belief"), F.max_by("as", F.struct("score", "pattern")).alias("kind"))
+        found = stage(belief.where(F.col("belief") >= s.least_instance).select("name", "kind"), "discovered")
+        was, many = many, found.count()
+        if many == was:  # what is believed only grows
+            return found
 
 
 def find(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
-    """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans.
 
     The counts and the digest are of the base spans; spans has them and the discovered ones, by kind as listed,
-    then start (code points, end exclusive).  Null texts count as empty and have no spans.  Repeated rows each get
+    then start (code points, end exclusive), and n_spans is their number.  Null texts count as empty and have no spans.  Repeated rows each get
     a row, but their instances count once; a null doc_id stays null.  An empty table gives no rows; other columns
     are ignored.
     """
     entities = detect(docs, settings, doc_id, text)
-    new = bootstrap(entities, settings)
-    places = entities.select("_row", F.explode("instances").alias("i")).where("i.label = 0").select("_row", "i.name", "i.s", "i.e")
+    edges = graph(docs, entities, settings, text)
+    none = "cast(array() as array<struct<k: int, s: int, e: int>>)"
     order = F.array(*(F.lit(k) for k in KINDS))
+    if edges is None:
+        return _report(entities.withColumn("added", F.expr(none)), order)
+    new = bootstrap(edges, settings)
+    places = entities.select("_row", F.explode("instances").alias("i")).where("i.label = 0").select("_row", "i.name", "i.s", "i.e")
     added = salted_join(places, new, ["name"], staged=True).groupBy("_row").agg(F.collect_list(F.struct((F.array_position(order, F.col("kind")) - 1).cast("int").alias("k"), "s", "e")).alias("added"))
     out = entities.select("_row", "doc_id", "base").join(added, "_row", "left")
-    every = F.array_sort(F.concat("base", F.coalesce("added", F.expr("cast(array() as array<struct<k: int, s: int, e: int>>)"))))
+    return _report(out.withColumn("added", F.coalesce("added", F.expr(none))), order)
+
+
+def _report(rows: DataFrame, order: Column) -> DataFrame:
+    every = F.array_sort(F.concat("base", "added"))
 
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(order, x["k"] + 1), x["s"], x["e"])), ",")
 
     counts = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"), F.size(every).cast("bigint").alias("n_spans"))

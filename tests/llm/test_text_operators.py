@@ -225,6 +225,81 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert all(got[i].startswith("phone:") and "," not in got[i] for i in range(30))
 
 
+def context_words(text, start, end):
+    shape = lambda w: re.sub("[0-9]", "0", w.lower())
+    before, after = [shape(w) for w in text[:start].split()], [shape(w) for w in text[end:].split()]
+    out = []
+    if len(before) > 1:
+        out.append(("b", *before[-2:]))
+    if before and after:
+        out.append(("m", before[-1], after[0]))
+    if len(after) > 1:
+        out.append(("a", *after[:2]))
+    return out
+
+
+def brute_bootstrap(rows, s):
+    """Names that patterns discover, for texts whose instances stand as words of their own."""
+    edges, label, places = defaultdict(set), {}, Counter()
+    occurrences = Counter()
+    for _, t in rows:
+        w = [re.sub("[0-9]", "0", x.lower()) for x in t.split()]
+        for i in range(len(w) - 2):
+            places.update([("b", w[i], w[i + 1]), ("m", w[i], w[i + 2]), ("a", w[i + 1], w[i + 2])])
+        seeds = [(m.start(), m.end(), 1) for k, (p, ok) in PII.items() for m in re.finditer(p, t) if ok(m)]
+        free = lambda m: not any(a < m.end() and m.start() < b for a, b, _ in seeds)  # noqa: B023, E731
+        other = [(m.start(), m.end(), 0) for m in re.finditer(r"\S+", t) if len(re.sub("[^0-9]", "", m[0])) >= s.least_digits and free(m)]
+        for a, b, kind in seeds + other:
+            label[t[a:b].lower()] = kind
+            for p in context_words(t, a, b):
+                edges[p].add(t[a:b].lower())
+                occurrences[p, t[a:b].lower()] += 1
+    taken = set()
+    while True:
+        believed = {n for n, k in label.items() if k} | taken
+        belief = defaultdict(lambda: 1.0)
+        for p, names in edges.items():
+            sure = names & believed
+            n = sum(occurrences[p, x] for x in names)
+            score = min(len(sure) / (len(names) + 1), sum(occurrences[p, x] for x in sure) / max(places[p], n))
+            if len(sure) >= s.least_seeds and score >= s.least_pattern:
+                for x in names:
+                    belief[x] *= 1 - min(score, 0.999)
+        new = {n for n, x in belief.items() if not label[n] and 1 - x >= s.least_instance}
+        if new == taken:
+            return taken
+        taken = new
+
+
+def test_discovered_identifiers_are_evidence_for_further_patterns(spark):
+    """Two hops: seeds make 'hotline is' a pattern, what it finds makes 'dial extension' one."""
+    r = random.Random(6)
+    seed = lambda: f"+1{r.randrange(10**9, 10**10)}"
+    texts_ = [f"note{i} our hotline is {seed()} every day x{i}" for i in range(60)]
+    hidden = [f"77{i:05d}" for i in range(9)]
+    texts_ += [f"z{i} your hotline is {h} every day y{i}" for i, h in enumerate(hidden)]
+    texts_ += [f"q{i} please dial extension {h} before noon p{i}" for i, h in enumerate(hidden)]
+    texts_ += ["u please dial extension 8812345 before noon v"]
+    texts_ += [f"c{i} {'the number of ' + seed()} d{i}" for i in range(6)] + [f"e{i} the number of people f{i}" for i in range(30)] + ["g the number of 9912345 h"]
+    rows = list(enumerate(texts_))
+    got = {x["doc_id"]: x for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    found = set()
+    for i, t in rows:
+        for x in filter(None, got[i]["spans"].split(",")):
+            _, a, b = x.split(":")
+            found.add(t[int(a) : int(b)])
+        assert got[i]["n_spans"] == len(list(filter(None, got[i]["spans"].split(","))))
+    want = brute_bootstrap(rows, pii.Settings())
+    assert {x for x in found if not x.startswith("+")} == want == {*hidden, "8812345"}
+
+
+def test_words_around_a_match_enter_patterns_whole(spark):
+    long = "w" * 300
+    rows = [(i, f"{long} tail{'x' * 90} +1{5550000000 + i} end{'y' * 60} z") for i in range(12)] + [(50, f"{long} tail{'x' * 90} 7123456 end{'y' * 60} z"), (51, f"tail{'x' * 80} 8123456 end{'y' * 40} z")]
+    got = {x["doc_id"]: x["n_spans"] for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == 1 and got[51] == 0
+
+
 def test_the_ledger_scans_each_blob_and_rule_version_once(spark, tmp_path):
     path = str(tmp_path / "ledger")
     first = spark.createDataFrame([(1, "token = abcdef1"), (2, "nothing"), (3, "token = abcdef1")], "doc_id long, text string")

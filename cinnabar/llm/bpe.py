@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinnabar.llm.common import small_batches
+from cinnabar.llm.common import slices
 
 #: Pre-tokens a worker remembers; a full memory is emptied, which costs time and never changes a result.
 MEMORY = 1_000_000
@@ -187,13 +187,12 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_i
     Null and empty texts have no tokens and the digests of nothing.  Repeated rows each give a row, a null
     doc_id stays null, and other columns are ignored.  path must be readable on every executor.
     """
-    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
         bpe = codec(path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for got in map(np.ndarray.tolist, bpe.encode_many([t or "" for t in batch.column(1).to_pylist()])):
                 rows.append((len(got), sha(",".join(map(bpe.names.__getitem__, got)).encode()), sha(bpe.decode(got)), *([got] if ids else [])))

@@ -2,36 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="cinnabar-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+from cinnabar.operators.staging import shared_dir, stage
 
+__all__ = ["columns", "connected_components", "forest", "salted_join", "shared_dir", "slices", "stage", "table", "unused", "whole"]
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of very long texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows.  Spark bounds a batch's bytes, this the Python objects made of it."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def columns(df: DataFrame) -> list:
+    """All columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def whole(df: DataFrame, name: str = "doc"):
+    """A row as one value, so that no column of the caller's can clash with the operator's."""
+    return F.struct(*columns(df)).alias(name)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _hashable(df: DataFrame) -> list:
+    return [c for c, f in zip(columns(df), df.schema, strict=True) if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 32, most: int = 20_000, staged: bool = False) -> DataFrame:
@@ -44,10 +53,11 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     right = right if staged else stage(right, "side")
     if right.count() <= most:
         return left.join(F.broadcast(right), on, how)
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = unused("_salt", left, right)
+    spread = left.withColumn(salt, F.pmod(F.xxhash64(*_hashable(left)), F.lit(salts)).cast("int"))
+    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     # a side that looks small before it is repeated must not be broadcast for it
-    return spread.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
+    return spread.join(copies.hint("merge"), [*on, salt], how).drop(salt)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

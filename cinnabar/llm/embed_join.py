@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinnabar.llm.common import connected_components, forest, salted_join, small_batches, stage
+from cinnabar.llm.common import connected_components, forest, salted_join, slices, stage
 
 
 @dataclass(frozen=True)
@@ -56,11 +56,10 @@ def width(table: DataFrame, embedding: str) -> str:
 
 def vectors(table: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """vec_id, key (digest of the components), vector (as bytes), null where it can't link; staged."""
-    small_batches(table.sparkSession, 4096)
     kind = width(table, embedding)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys, raws = [], []
             for v in batch.column(1).to_pylist():
                 x = np.array([np.nan if c is None else c for c in v or []], np.float64)
@@ -78,7 +77,7 @@ def deal(nodes: DataFrame, s: Settings, kind: str) -> DataFrame:
     """d, block, cell_x, cell_y, probe, node, n, vector: each node at home, and as a probe in half of the cells around."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = batch.column(2).to_pylist()
             sizes = np.array([len(r) // int(kind[2]) for r in raw])
             for d in np.unique(sizes):
@@ -181,7 +180,7 @@ def join(dealt: DataFrame, s: Settings, kind: str) -> DataFrame:
             count = pa.array([*links.values(), *[None] * len(a)], pa.int64())
             return pa.RecordBatch.from_arrays([node, count, pa.array([*[None] * len(links), *b.tolist()], pa.int64())], ["node", "links", "other"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:6] != unit:
                     if len(held) > 1:

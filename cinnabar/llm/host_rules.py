@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinnabar.llm.common import salted_join, small_batches, stage
+from cinnabar.llm.common import salted_join, slices, stage
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -72,12 +72,11 @@ def measure(text: str) -> tuple[int, int, int, int, int, int]:
 
 def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines for every row."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [measure(t or "") for t in batch.column(2).to_pylist()]
             cols = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "host", *names])
@@ -115,12 +114,11 @@ def kept(docs: DataFrame, rules: Rules = Rules(), text: str = "text", host: str
 
     The texts are measured twice, for the hosts and for themselves, which costs less than writing them once more.
     """
-    small_batches(docs.sparkSession)
     names = ["n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [measure(t or "") for t in batch.column(2).to_pylist()]
             cols = [[r[k] for r in rows] for k in (0, 2, 3, 4, 5)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], ["doc", "host", *names])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinnabar.llm.common import small_batches, stage
+from cinnabar.llm.common import slices, stage
 
 #: The end of a text, as a token; no word contains a space.
 END = b" "
@@ -82,7 +82,7 @@ def count_words(texts: DataFrame, s: Settings) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(some.keys(), pa.binary()), pa.array(some.values(), pa.int64())], ["word", "c"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column(0).to_pylist():
                 some.update(words(t))
             if len(some) > 200_000:
@@ -122,7 +122,7 @@ def count_trigrams(texts: DataFrame, own: dict[bytes, int], s: Settings) -> Data
             code, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(n, pa.int64())], ["code", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column(0).to_pylist():
                 held.append(codes(np.fromiter(map(get, words(t)), np.int32)))
                 size += len(held[-1])
@@ -262,7 +262,6 @@ def score(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_i
     both scores are those of the untrained model.
     """
     s, spark = settings, docs.sparkSession
-    small_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % s.folds == s.held_out, F.lit(True))
@@ -293,7 +292,7 @@ def score(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_i
     def run(batches) -> Iterator[pa.RecordBatch]:
         value, own, model, log_mass = shared.value
         classes, table = _Classes(own, s), model.table()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in batch.column(1).to_pylist():
                 tokens = words(t)
@@ -331,7 +330,7 @@ def class_sizes(counts: DataFrame, own: dict[bytes, int], s: Settings) -> DataFr
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             get = shared.value.get
             at = [get(w, -1) for w in batch.column(0).to_pylist()]
             total += np.bincount([a if a >= 0 else ending(w, s) for a, w in zip(at, batch.column(0).to_pylist(), strict=True)], minlength=CLASSES)

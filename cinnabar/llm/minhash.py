@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinnabar.llm.common import connected_components, salted_join, small_batches, stage
+from cinnabar.llm.common import connected_components, salted_join, slices, stage
 
 
 @dataclass(frozen=True)
@@ -95,11 +95,10 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def fingerprints(docs: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
     """doc_id, n_shingles, key (of the word sequence), bands (8 bytes each), sketch (a byte a coordinate)."""
-    small_batches(docs.sparkSession)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in batch.column(1).to_pylist():
                 words = (t or "").encode().lower().split()
@@ -129,7 +128,7 @@ def band_entries(nodes: DataFrame, s: Settings) -> DataFrame:
     """bh, node: a row a band."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             bh = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
             node = np.repeat(batch.column(0).to_numpy(), s.bands)
             yield pa.RecordBatch.from_arrays([pa.array(bh), pa.array(node)], ["bh", "node"])
@@ -142,7 +141,7 @@ def verify(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if x != last[0]:
@@ -169,7 +168,7 @@ def units(members: DataFrame, chunk: int, *carried: str) -> DataFrame:
 def by_unit(batches) -> Iterator[list[tuple]]:
     """The rows of one unit after the other."""
     held: list[tuple] = []
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and row[:3] != held[0][:3]:
                 yield held
@@ -253,7 +252,7 @@ def shingle_sets(texts: DataFrame, s: Settings) -> DataFrame:
     """node, codes (the sorted set, 8 bytes a shingle)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             codes = [shingles(t.encode().lower().split(), s.words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["node", "codes"])
 

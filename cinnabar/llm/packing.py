@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinnabar.llm.common import small_batches, stage
+from cinnabar.llm.common import slices, stage
 
 #: Pieces of one length are ranked in so many independent parts.
 PARTS = 64
@@ -121,12 +121,11 @@ def _encoder(json_path: str, ranks_path: str, pattern: str):
 
 def pieces(docs: DataFrame, capacity: int, end: int, json_path: str, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Tokenised documents, cut at the capacity: doc_id, piece, start, length, ids_crc32."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
         encode = _encoder(json_path, ranks_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             at, out = [], []
             for row, t in enumerate(batch.column(1).to_pylist()):
                 ids = np.append(encode(t or ""), np.uint32(end)).astype("<u4")
@@ -149,9 +148,10 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, capacit
     full.  Repeated rows and null doc_ids are packed like any other row; an empty table gives no rows; other
     columns are ignored.  Full pieces are sequences by themselves.
     """
-    cut = stage(pieces(docs, capacity, end, json_path, ranks_path, pattern, doc_id, text), "pieces").withColumn("_id", F.monotonically_increasing_id())
-    part = cut.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(PARTS)).cast("int"))
-    short = part.where(F.col("length") < capacity)
+    # numbers are part of the table: made anew on each read they would follow the splits of that read
+    numbered = pieces(docs, capacity, end, json_path, ranks_path, pattern, doc_id, text).withColumn("_id", F.monotonically_increasing_id())
+    cut = stage(numbered.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(PARTS)).cast("int")), "pieces")
+    short = cut.where(F.col("length") < capacity)
     held = np.zeros((capacity, PARTS), np.int64)
     for r in short.groupBy("length", "_part").count().collect():  # at most capacity * PARTS rows
         held[r["length"], r["_part"]] = r["count"]
@@ -165,8 +165,8 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, capacit
 
     def place(batches):
         lookup, before = shared.value
-        next_rank = before.copy()  # all pieces of a length and part come to one task, in any order
-        for batch in batches:
+        next_rank = before.copy()  # all pieces of a length and part come to one task, in the order of their numbers
+        for batch in slices(batches):
             length, at = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for row, (n, k) in enumerate(zip(length.tolist(), at.tolist(), strict=True)):
@@ -179,6 +179,8 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, capacit
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
     kinds = ", ".join(f"{c} {cut.schema[c].dataType.simpleString()}" for c in columns)
-    placed = short.select(*columns, "_part").repartition("length", "_part").mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
+    # sorted, so that a task that runs again gives each piece the same place
+    dealt = short.select(*columns, "_part", "_id").repartition("length", "_part").sortWithinPartitions("length", "_part", "_id").drop("_id")
+    placed = dealt.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
     whole = cut.where(F.col("length") == capacity).select(*columns, (F.lit(bins) + F.col("_id")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     return placed.unionByName(whole)

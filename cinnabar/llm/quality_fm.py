@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinnabar.llm.common import small_batches
+from cinnabar.llm.common import slices
 
 #: Fixed features come first, words are hashed behind them.
 STATS, BINS = 14, 16
@@ -149,14 +149,13 @@ def fold(doc_id: str, folds: int):
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", label: str = "quality", n_chars: str = "n_chars") -> Machine:  # noqa: B008
     """Fit on at most settings.sample labelled documents outside fold 0.  Null ids and labels are skipped; several
     labels of a document are averaged."""
-    small_batches(docs.sparkSession)
     truth = labels.where((fold(doc_id, settings.folds) != 0) & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.avg(label).alias("y"))
     known = truth.count()
     share = min(1.0, settings.sample / max(known, 1))
     some = truth.where(F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(settings.sample)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [extract(t or "", n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary())], ["doc_id", "y", "index"])
 
@@ -178,13 +177,12 @@ def score(docs: DataFrame, machine: Machine, settings: Settings = Settings(), do
     Null and empty texts score by their statistics alone.  Repeated rows score alike.  A null doc_id is held out,
     as nothing is learned from it.  An empty table gives no rows; other columns but n_chars are ignored.
     """
-    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(machine)  # SIZE * (factors + 1) floats
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, m.margin(*extract(t or "", n)))))))
@@ -196,7 +194,6 @@ def score(docs: DataFrame, machine: Machine, settings: Settings = Settings(), do
 
 def kept(docs: DataFrame, machine: Machine, settings: Settings = Settings(), text: str = "text", n_chars: str = "n_chars") -> DataFrame:  # noqa: B008
     """The rows of docs that `score` predicts to be good, with their columns."""
-    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(machine)
     size = F.col(n_chars).cast("bigint") if n_chars in docs.columns else F.lit(None).cast("bigint")
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).cast("string").alias("text"), size.alias("n_chars"))
@@ -204,7 +201,7 @@ def kept(docs: DataFrame, machine: Machine, settings: Settings = Settings(), tex
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
+        for batch in slices(batches):
             good = [m.margin(*extract(t or "", n)) >= least for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_()))], ["doc"])
 

@@ -1,9 +1,10 @@
 """Secret scans over an incremental blob ledger.
 
 A text is a blob under its SHA-256, however many documents or versions hold it.  The ledger is a table with a row
-for each time a blob was scanned: the rules (with their versions) that ran and the spans they found.  A run scans
-only the pairs of blob and rule version that the ledger lacks, appends what it found, and joins the ledger's spans
-back to every document that holds the blob.  DataFrame functions only.
+for each time a blob was scanned: the rules (with their versions) that ran and the spans they found.  A run compares
+hashes with the ledger, scans only the pairs of blob and rule version that it lacks, each in one row that holds the
+blob, appends what it found, and joins the ledger's spans back to every document that holds the blob.  Texts that are
+known are not moved.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinnabar.llm import native
-from cinnabar.llm.common import salted_join, shared_dir, stage
+from cinnabar.llm.common import salted_join, shared_dir, stage, whole
 
 
 @dataclass(frozen=True)
@@ -79,25 +80,30 @@ class Ledger:
             return None
         return self.spark.read.schema(f"sha string, rules array<string>, spans {SPANS}").parquet(self.path)
 
-    def update(self, texts: DataFrame, rules: tuple[Rule, ...]) -> None:
-        """Scan what is new in texts (sha, text) and append it."""
-        names = F.array(*(F.lit(r.name) for r in rules))
-        blobs = texts.groupBy("sha").agg(F.first("text").alias("text"))
+    def update(self, texts: DataFrame, keys: DataFrame, rules: tuple[Rule, ...], broadcast: int = 400_000) -> None:
+        """Scan what is new in texts (row, sha, text) and append it.  keys: row, sha of the same rows, staged; row is a
+        string that need not be unique.  Up to `broadcast` new blobs are looked for where the texts lie."""
+        names, none = F.array(*(F.lit(r.name) for r in rules)), F.expr("cast(array() as array<string>)")
+        blobs = keys.groupBy("sha").agg(F.min("row").alias("row"))
         old = self.rows()
         if old is None:
-            blobs = blobs.withColumn("seen", F.expr("cast(array() as array<string>)"))
+            blobs = blobs.withColumn("seen", none)
         else:
             seen = old.select("sha", F.explode("rules").alias("r")).groupBy("sha").agg(F.collect_set("r").alias("seen"))
-            blobs = blobs.join(seen, "sha", "left").withColumn("seen", F.coalesce("seen", F.expr("cast(array() as array<string>)")))
+            blobs = blobs.join(seen, "sha", "left").withColumn("seen", F.coalesce("seen", none))
             blobs = blobs.where(F.size(F.array_except(names, F.col("seen"))) > 0)
-        scan_blobs(blobs, rules).write.mode("append").parquet(self.path)
+        new = stage(blobs, "unseen")
+        # a key has one row of new, and the texts of a blob are one row's; only copies of that very row repeat it
+        some = salted_join(texts, new, ["sha", "row"], salts=1, most=broadcast, staged=True)
+        scan_blobs(some, rules).dropDuplicates(["sha"]).write.mode("append").parquet(self.path)
 
     def findings(self, rules: tuple[Rule, ...]) -> DataFrame:
         """sha, spans of the given rule versions, for blobs that have any."""
         names = F.array(*(F.lit(r.name) for r in rules))
         current = F.filter("spans", lambda x: F.array_contains(names, x["rule"]))
         some = self.rows().select("sha", current.alias("spans")).where(F.size("spans") > 0)
-        return some.groupBy("sha").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a few batches a blob
+        # a few batches a blob; runs that overlap may have scanned it twice
+        return some.groupBy("sha").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -118,14 +124,11 @@ def scan(docs: DataFrame, ledger_path: str | None = None, base: tuple[Rule, ...]
     texts have no spans.  Rows that repeat a text share its scan, rows that repeat an id each get its findings, a
     null doc_id stays null.  An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    path = ledger_path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     rules = (*base, *more)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumn("sha", F.sha2("text", 256))
-    ledger = Ledger(spark, path)
-    ledger.update(texts.select("sha", "text"), rules)
-    keys = stage(texts.select("doc_id", "sha"), "paths")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("sha", F.sha2("text", 256))
+    ledger, keys = _ledger(docs, ledger_path), stage(rows.select("doc_id", "row", "sha"), "paths")
+    ledger.update(rows.select("row", "sha", "text"), keys, rules)
     out = salted_join(keys, ledger.findings(rules), ["sha"], "left")
     out = out.withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})"))).withColumn("_all", ordered("spans", rules))
     kinds = F.array(*(F.lit(r.kind) for r in base))
@@ -134,24 +137,33 @@ def scan(docs: DataFrame, ledger_path: str | None = None, base: tuple[Rule, ...]
     return out.select("doc_id", *counts, F.sha2(joined(F.col("_base")), 256).alias("base_sha256"), joined(F.col("_all")).alias("spans"))
 
 
-def redact(docs: DataFrame, ledger_path: str | None = None, mark: str = "<secret>", base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE, text: str = "text", size: str = "n_chars") -> DataFrame:
-    """The rows with every span in `text` replaced by a mark (overlapping spans by one) and `size`, if there, set
-    to the new length.  Rows without findings pass unchanged, null texts too."""
+def _ledger(docs: DataFrame, path: str | None) -> Ledger:
     spark = docs.sparkSession
-    path = ledger_path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    return Ledger(spark, path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+
+
+def redact(docs: DataFrame, ledger_path: str | None = None, mark: str = "<secret>", base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE, doc_id: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+    """The rows with every span in `text` replaced by a mark (overlapping spans by one) and `size`, if there, set
+    to the new length.
+
+    Rows without findings pass unchanged, null and empty texts too.  Repeated rows are each redacted; a null doc_id
+    stays null; an empty table gives no rows.  All other columns pass as they are, whatever their names.
+    """
     rules = (*base, *more)
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
-    ledger = Ledger(spark, path)
-    ledger.update(keyed.select(F.col("_sha").alias("sha"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), rules)
-    spans = ledger.findings(rules).select(F.col("sha").alias("_sha"), ordered("spans", rules).alias("_spans"))
-    both = salted_join(keyed, spans, ["_sha"], "left")
-    new = f"""aggregate(_spans, named_struct('at', 0, 'out', ''),
+    content = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(whole(docs), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).alias("row"), content.alias("text")).withColumn("sha", F.sha2("text", 256))
+    ledger, keys = _ledger(docs, ledger_path), stage(rows.select("row", "sha"), "paths")
+    ledger.update(rows.select("row", "sha", "text"), keys, rules)
+    spans = ledger.findings(rules).select("sha", ordered("spans", rules).alias("spans"))
+    both = salted_join(rows, spans, ["sha"], "left")
+    new = """aggregate(spans, named_struct('at', 0, 'out', ''),
         (acc, x) -> named_struct(
             'at', greatest(acc.at, x.e),
-            'out', case when x.s >= acc.at then concat(acc.out, substring(`{text}`, acc.at + 1, x.s - acc.at), '{mark}') else acc.out end),
-        acc -> concat(acc.out, substring(`{text}`, acc.at + 1)))"""
-    out = both.withColumn("_new", F.when(F.col("_spans").isNotNull(), F.expr(new)))
+            'out', case when x.s >= acc.at then concat(acc.out, substring(text, acc.at + 1, x.s - acc.at), '{mark}') else acc.out end),
+        acc -> concat(acc.out, substring(text, acc.at + 1)))"""
+    out = both.withColumn("new", F.when(F.col("spans").isNotNull(), F.expr(new.replace("{mark}", mark.replace("\\", "\\\\").replace("'", "\\'")))))
+    put = {text: F.col("new").cast(docs.schema[text].dataType)}
     if size in docs.columns:
-        kind = docs.schema[size].dataType.simpleString()
-        out = out.withColumn(size, F.when(F.col("_new").isNotNull(), F.length("_new").cast(kind)).otherwise(F.col(size)))
-    return out.withColumn(text, F.coalesce("_new", F.col(text))).select(*docs.columns)
+        put[size] = F.length("new").cast(docs.schema[size].dataType)
+    changed = lambda c: F.coalesce(put[c], F.col("doc").getField(c)) if c in put else F.col("doc").getField(c)
+    return out.select(*(changed(c).alias(c) for c in docs.columns))

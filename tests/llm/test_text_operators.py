@@ -317,11 +317,45 @@ def test_the_ledger_scans_each_blob_and_rule_version_once(spark, tmp_path):
     assert ran.count(["hex@2"]) == 3
 
 
+def test_a_rerun_scans_nothing_and_doubled_batches_count_once(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    df = spark.createDataFrame([(i, f"token = abcdef{i % 7}") for i in range(40)], "doc_id long, text string")
+    first = sorted(map(tuple, secret_ledger.scan(df, path).collect()))
+    rows = secret_ledger.Ledger(spark, path).rows()
+    before = rows.count()
+    assert before == 7
+    seen = []
+    keep = secret_ledger.scan_blobs
+
+    def watched(blobs, rules):
+        seen.append(blobs)
+        return keep(blobs, rules)
+
+    secret_ledger.scan_blobs = watched
+    try:
+        again = sorted(map(tuple, secret_ledger.scan(df, path).collect()))
+    finally:
+        secret_ledger.scan_blobs = keep
+    assert again == first and seen[0].count() == 0
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan  # texts stay where they lie
+    assert secret_ledger.Ledger(spark, path).rows().count() == before
+    copy = spark.createDataFrame(rows.collect(), rows.schema)
+    copy.write.mode("append").parquet(path)  # as if two runs had scanned the same blobs at once
+    assert sorted(map(tuple, secret_ledger.scan(df, path).collect())) == first
+
+
 def test_redact(spark):
-    df = spark.createDataFrame([(1, "a token = abcdef1 b " + "0123456789abcdef" * 2, 9, "x"), (2, None, None, "x"), (3, "clean", 5, None)], "doc_id long, text string, n_chars long, _z string")
-    got = {r["doc_id"]: r for r in secret_ledger.redact(df).collect()}
-    assert got[1]["text"] == "a <secret> b <secret>" and got[1]["n_chars"] == len(got[1]["text"])
-    assert (got[2]["text"], got[3]["text"], got[3]["n_chars"]) == (None, "clean", 5)
+    secret = "a token = abcdef1 b " + "0123456789abcdef" * 2
+    long = "x " * 60_000
+    rows = [(1, secret, 9), (1, secret, 9), (None, secret, 9), (2, None, None), (3, "clean", 5), (4, "", 0), (5, long + secret, 7)]
+    df = spark.createDataFrame([(*r, "keepme", "s", "n", "_s", "d", "r") for r in rows], "doc_id long, text string, n_chars long, _sha string, _spans string, _new string, `a.b` string, doc string, row string")
+    out = secret_ledger.redact(df, mark="<it's \\secret>")
+    assert out.columns == df.columns and out.schema["n_chars"].dataType == df.schema["n_chars"].dataType
+    clean = "a <it's \\secret> b <it's \\secret>"
+    want = [(1, clean, len(clean)), (1, clean, len(clean)), (None, clean, len(clean)), (2, None, None), (3, "clean", 5), (4, "", 0), (5, long + clean, len(long + clean))]
+    assert Counter(map(tuple, out.collect())) == Counter((*r, "keepme", "s", "n", "_s", "d", "r") for r in want)
+    assert secret_ledger.redact(df.where("false")).count() == 0
 
 
 def test_published_formats_are_added(spark):

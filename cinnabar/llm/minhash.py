@@ -5,7 +5,9 @@ minimum of the second over the first's values shifted circularly by k.  Equal wo
 start.  A node is compared first with the smallest node it shares a bucket with, which joins most of a group at one
 comparison a member.  Then, in buckets that still hold several components, every pair across components whose sizes
 and sketches allow a link is compared where it meets, once, and only the edges that connect components are written;
-pairs within a component need no comparison.  Every link is confirmed on the full shingle sets.
+pairs within a component need no comparison.  There a bucket's largest component is dealt in chunks that meet only
+chunks of the rest, so a group of any size is copied as often as the few strangers in its bucket need it.  Every link
+is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinnabar.llm.common import connected_components, salted_join, slices, stage
+from cinnabar.llm.common import connected_components, salted_join, slices, stage, whole
 
 
 @dataclass(frozen=True)
@@ -31,8 +33,9 @@ class Settings:
     rows: int = 6
     #: A pair goes to verification if so many coordinates agree: 5.6 standard deviations below the threshold's mean.
     least_equal: float = 0.70
-    chunk: int = 4096  # members of a bucket that one unit of work holds half of, by their sketches
-    set_chunk: int = 1024  # and with their shingle sets
+    chunk: int = 1024  # members of a bucket that one unit of work holds half of, by their sketches
+    set_chunk: int = 512  # and with their shingle sets
+    hot: int = 1000  # a bucket with more nodes meets its facts in a salted join
     broadcast_ids: int = 1_000_000  # more ids than this meet the texts in a shuffle
 
     @property
@@ -156,13 +159,33 @@ def verify(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "similar")
 
 
+def hot_join(left: DataFrame, right: DataFrame, hot: Column) -> DataFrame:
+    """left with right's facts of its bucket (unique bh); buckets that are hot by a column of right, few, go salted."""
+    few = stage(right.where(hot), "hot")
+    cold = salted_join(left, few.select("bh"), ["bh"], "left_anti", staged=True).join(right.where(~hot), "bh")
+    return salted_join(left, few, ["bh"], staged=True).unionByName(cold)
+
+
+def facts(members: DataFrame) -> DataFrame:
+    """bh, main (its largest component), n_main, n_rest: of buckets with several components.  members: bh, node, comp."""
+    sizes = members.groupBy("bh", "comp").agg(F.count("*").alias("n"))
+    each = sizes.groupBy("bh").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("comps"))
+    return each.where("comps > 1").select("bh", "main", "n_main", (F.col("n") - F.col("n_main")).alias("n_rest"))
+
+
 def units(members: DataFrame, chunk: int, *carried: str) -> DataFrame:
-    """bh, lo, hi, first, then the carried columns: a bucket's members dealt as pairs of chunks, sorted by unit."""
-    sizes = members.groupBy("bh").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_n"))
-    at = members.join(sizes, "bh").withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
-    dealt = at.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    unit = dealt.select("bh", F.least("_i", "_j").alias("lo"), F.greatest("_i", "_j").alias("hi"), (F.col("_i") <= F.col("_j")).alias("first"), *carried)
-    return unit.repartition("bh", "lo", "hi").sortWithinPartitions("bh", "lo", "hi")
+    """bh, lo, hi, first, then the carried columns, sorted by unit.  A unit is a pair of chunks of a bucket's members
+    outside its largest component (lo, hi >= 0), or such a chunk and one of that component (lo >= 0, hi < 0).
+    members have the facts of their bucket."""
+    chunks = lambda n: F.ceil(F.col(n) / chunk).cast("int")
+    main = F.col("comp") == F.col("main")
+    at = F.pmod(F.xxhash64("node"), F.when(main, chunks("n_main")).otherwise(chunks("n_rest"))).cast("int")
+    rest = F.transform(F.sequence(F.lit(0), chunks("n_rest") - 1), lambda j: F.struct(F.least("_i", j).alias("lo"), F.greatest("_i", j).alias("hi"), (F.col("_i") <= j).alias("first")))
+    to_main = F.transform(F.sequence(F.lit(1), chunks("n_main")), lambda j: F.struct(F.col("_i").alias("lo"), (-j).alias("hi"), F.lit(True).alias("first")))
+    of_main = F.transform(F.sequence(F.lit(0), chunks("n_rest") - 1), lambda j: F.struct(j.alias("lo"), (-F.col("_i") - 1).alias("hi"), F.lit(False).alias("first")))
+    dealt = members.withColumn("_i", at).withColumn("_u", F.explode(F.when(main, of_main).otherwise(F.concat(rest, to_main))))
+    unit = dealt.select("bh", "_u.lo", "_u.hi", "_u.first", *carried)
+    return unit.repartition("bh", "lo", "hi").sortWithinPartitions("bh", "lo", "hi", "node")
 
 
 def by_unit(batches) -> Iterator[list[tuple]]:
@@ -271,10 +294,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     prints = fingerprints(docs, s, doc_id, text)
     named = prints.where("doc_id is not null and n_shingles > 0")
     classes = stage(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    nodes = named.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["key", "doc_id"], "left_semi")
+    nodes = stage(named.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["key", "doc_id"], "left_semi"), "nodes")
     entries = band_entries(nodes, s)
-    buckets = entries.groupBy("bh").agg(F.count("*").alias("many"), F.min("node").alias("least")).where("many > 1")
-    members = stage(entries.join(buckets, "bh"), "members")  # only of buckets with several nodes
+    buckets = stage(entries.groupBy("bh").agg(F.count("*").alias("many"), F.min("node").alias("least")).where("many > 1"), "buckets")
+    hot = F.col("many") > s.hot
+    members = stage(hot_join(entries, buckets, hot), "members")  # only of buckets with several nodes
     candidates = stage(members.groupBy("node").agg(F.min("least").alias("least")), "candidates")
     wanted = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).cast("string").alias("text")).where("text is not null")
     texts = stage(salted_join(wanted, candidates.select("node"), ["node"], "left_semi", salts=1, most=s.broadcast_ids, staged=True), "texts")
@@ -286,12 +310,14 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     same = named.join(several, "doc_id", "left_semi").join(classes, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     links = verify(candidates.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")), texts, s).unionByName(same)
     comps = connected_components(links)
-    labelled = members.join(comps, "node", "left").select("bh", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = labelled.groupBy("bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bh")
-    some = labelled.join(mixed, "bh", "left_semi").join(sketches, "node")
+    labelled = stage(members.join(comps, "node", "left").select("bh", "node", F.coalesce("component", "node").alias("comp")), "labelled")
+    mixed = stage(facts(labelled), "mixed")
+    large = F.col("n_main") + F.col("n_rest") > s.hot
+    some = hot_join(labelled, mixed, large).join(sketches, "node")
     open_ = stage(flagged(some, s), "open")
     sets = stage(shingle_sets(texts.join(open_.select("node").distinct(), "node", "left_semi"), s), "sets")
-    late = open_.join(labelled.distinct(), ["bh", "node"]).join(sketches, "node").join(sets, "node")
+    apart = stage(open_.join(labelled.distinct(), ["bh", "node"]), "apart")
+    late = hot_join(apart, stage(facts(apart), "mixed"), large).join(sketches, "node").join(sets, "node")
     comps = connected_components(links.unionByName(link(late, s)))
     small = classes.join(comps, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"), "copies", "rep")
     moved = small.where("copies > 1 or component <> rep").select("key", "component")
@@ -302,14 +328,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
-    """The rows of docs that `near_duplicates` keeps, with their columns; of rows with one id, one.  Null ids stay."""
-    s, id_ = settings, F.col(f"`{doc_id}`").cast("bigint")
-    verdict = near_duplicates(docs, s, doc_id, text).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    """The rows of docs that `near_duplicates` keeps, with their columns, whatever the names of others.
+
+    Of rows with one id, one stays.  Null, empty and blank texts are near-duplicates of nothing and stay; rows
+    without an id all stay.  An empty table gives no rows.
+    """
+    s = settings
+    verdict = near_duplicates(docs, s, doc_id, text).where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
     marked = stage(verdict.where("not kept or n > 1"), "verdict")
-    rows = docs.withColumn("_id", id_)
+    rows = docs.select(whole(docs), F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("print"))
 
     def part(ids: DataFrame, how: str) -> DataFrame:
-        return salted_join(rows, ids.select("_id"), ["_id"], how, salts=1, most=s.broadcast_ids)
+        return salted_join(rows, ids.select("id"), ["id"], how, salts=1, most=s.broadcast_ids)
 
-    single, several = part(marked, "left_anti"), part(marked.where("kept"), "left_semi").dropDuplicates(["_id"])
-    return single.select(*docs.columns).unionByName(several.select(*docs.columns))
+    several = part(marked.where("kept"), "left_semi").groupBy("id").agg(F.min_by("doc", "print").alias("doc"))
+    return part(marked, "left_anti").select("doc.*").unionByName(several.select("doc.*"))

@@ -216,15 +216,55 @@ def test_near_duplicates(copies):
 def test_small_units_give_the_same_links(copies):
     _, df = copies
     key = lambda out: sorted(map(repr, out.collect()))
-    assert key(minhash.near_duplicates(df, minhash.Settings(chunk=3, set_chunk=2))) == key(minhash.near_duplicates(df))
+    assert key(minhash.near_duplicates(df, minhash.Settings(chunk=3, set_chunk=2, hot=2))) == key(minhash.near_duplicates(df))
 
 
 def test_one_of_each(copies):
     rows, df = copies
-    out = minhash.one_of_each(df)
     kept = {r["doc_id"] for r in minhash.near_duplicates(df).where("kept").collect()}
-    assert out.columns == df.columns
-    assert Counter(r["doc_id"] for r in out.collect()) == Counter({i: 1 for i in kept})
+    named = df.selectExpr("doc_id", "text", "node", "comp", "'keepme' as _id", "'s' as _salt", "'dot' as `a.b`", "'doc' as doc", "'id' as id", "map('k', 1) as m")
+    for s in (minhash.Settings(), minhash.Settings(broadcast_ids=0)):
+        out = minhash.one_of_each(named, s)
+        assert out.columns == named.columns
+        got = out.collect()
+        assert Counter(r["doc_id"] for r in got) == Counter({i: 1 for i in kept})
+        assert {(r["_id"], r["_salt"], r["a.b"], r["doc"], r["id"], r["m"]["k"]) for r in got} == {("keepme", "s", "dot", "doc", "id", 1)}
+        assert {(r["doc_id"], r["text"]) for r in got} <= set(rows)
+    assert minhash.one_of_each(named.where("false")).count() == 0
+
+
+def test_a_bucket_with_one_large_group_deals_it_out_once(spark):
+    """A group's copies number as the chunks of the others in its bucket, and every pair across meets once."""
+    members = spark.createDataFrame([(7, i, 0) for i in range(100)] + [(7, 1000 + i, i % 3 + 1) for i in range(8)] + [(8, 1, 0)], "bh long, node long, comp long")
+    s = minhash.Settings()
+    both = minhash.hot_join(members, minhash.facts(members), minhash.F.col("n_main") > 50)
+    units = {}
+    for r in minhash.units(both, 10, "node", "comp").collect():
+        units.setdefault(r[:3], []).append(r)
+    assert all(len(u) <= 40 for u in units.values()) and s.chunk
+    met = Counter()
+    for (_, lo, hi), u in units.items():
+        left = u if lo == hi else [r for r in u if r[3]]
+        right = u if lo == hi else [r for r in u if not r[3]]
+        met.update({frozenset((x[4], y[4])) for x in left for y in right if x[5] != y[5]})
+    nodes = [(i, 0) for i in range(100)] + [(1000 + i, i % 3 + 1) for i in range(8)]
+    assert met == Counter(frozenset((a, b)) for a, p in nodes for b, q in nodes if a < b and p != q)
+    assert sum(r[4] < 100 for u in units.values() for r in u) == 100
+    assert not any(r[0] == 8 for u in units.values() for r in u)
+
+
+def test_long_texts_and_hot_buckets_give_the_same_links(spark):
+    r = random.Random(8)
+    base = [f"v{r.randrange(10**6)}" for _ in range(30_000)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base, "more"])), (2, " ".join(base[:20_000]))]
+    short = [f"u{i}" for i in range(60)]
+    rows += [(10 + i, " ".join([*short, f"e{i}"])) for i in range(60)]  # all in the same buckets
+    rows += [(200 + i, " ".join([*short[:50], *(f"f{i}{k}" for k in range(12))])) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = components(sets, [(a, b) for a in sets for b in sets if a < b and linked(sets[a], sets[b])])
+    for s in (minhash.Settings(), minhash.Settings(hot=3, chunk=4, set_chunk=4)):
+        assert {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(df, s).collect()} == want
 
 
 def test_signatures_estimate_the_similarity():

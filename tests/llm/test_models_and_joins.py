@@ -284,8 +284,10 @@ def test_embeddings(spark):
     centres = rng.normal(size=(12, 24))
     rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=24) * rng.choice([0.05, 0.3, 1.0])]) for i in range(300)]
     rows += [(1000 + i, rows[5][1]) for i in range(40)] + [(2000, [2 * x for x in rows[5][1]]), (2001, None), (2002, []), (2003, [0.0] * 24), (2004, [float("nan")] * 24), (2005, [None] * 24), (2006, [float("inf")] + [1.0] * 23), (2007, [1.0, 2.0]), (2008, [2.0, 4.0]), (2009, [1.0]), (2010, [3.0]), (7, rows[7][1])]
+    rows += [(2011, [x * 1e-250 for x in rows[5][1]]), (2012, [x * 1e250 for x in rows[5][1]]), (2013, [5e-324, 0.0]), (2014, [1.0, 0.0])]
+    fit = lambda v: np.array(v) / max(abs(x) for x in v)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    fine = {k: np.array(v) for k, (i, v) in enumerate(rows) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    fine = {k: fit(v) for k, (i, v) in enumerate(rows) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     links, edges = Counter(), []
     for a, x in fine.items():
         for b, y in fine.items():
@@ -298,12 +300,27 @@ def test_embeddings(spark):
     for k, (i, _) in enumerate(rows):
         least[place[k]] = min(least.get(place[k], i), i)
     want = Counter((i, links[k], least[place[k]], least[place[k]] == i) for k, (i, _) in enumerate(rows))
-    for s in (embed_join.Settings(), embed_join.Settings(chunk=16, tile=8, blocks=3)):
+    for s in (embed_join.Settings(), embed_join.Settings(chunk=16, tile=8, blocks=6, axes=2)):
         got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_join.near_duplicates(df, s).collect())
         assert got == want
     assert embed_join.near_duplicates(df.where("false")).count() == 0
 
 
+def test_a_pair_of_cells_within_reach_meets_once():
+    rng = np.random.default_rng(1)
+    y, radius = rng.normal(size=(400, 3)), 0.4
+    homes, probes = {}, {}
+    for k, (rows, cells) in enumerate(embed_join.reached(y, radius)):
+        for i, c in zip(rows.tolist(), map(tuple, cells.tolist()), strict=True):
+            (probes if k else homes).setdefault(c, []).append(i)
+    met = Counter()
+    for c, own in homes.items():
+        met.update(frozenset((a, b)) for k, a in enumerate(own) for b in own[:k])
+        met.update(frozenset((a, b)) for a in own for b in probes.get(c, ()))
+    near = {frozenset((a, b)) for a in range(400) for b in range(a) if np.square(y[a] - y[b]).sum() <= radius**2}
+    assert near <= set(met) and max(met.values()) == 1
+
+
 # pages
 
 

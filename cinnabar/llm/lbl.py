@@ -1,10 +1,12 @@
-"""Language-model scoring with a log-bilinear neural model trained by noise-contrastive estimation.
-
-The model predicts a word's class from the two classes before it: p(class | context) is a softmax of q . h + b,
-where h = c1 * r1 + c2 * r2 combines the context's vectors.  The most frequent words are classes of their own,
-all others share the class of their ending, in which a word's share follows its smoothed count.  Training sees the
-whole corpus as counts of class trigrams: each shard runs NCE in numpy from the same start, a round passes over all
-of its trigrams by their counts, and the shards' parameters are averaged.  Scoring normalises every context at once with batched matrix products.
+"""Language-model scoring with a class-factored log-bilinear model trained by noise-contrastive estimation.
+
+A symbol is predicted from the two before it.  Their vectors combine to h = near * r1 + far * r2, and
+p(symbol | h) = p(class | h) * p(symbol | class, h), both softmaxes of q . h + b.  Every frequent word of the training
+texts is a symbol; all other words share the symbol of their ending, in which a word's part follows its smoothed
+count.  Symbols are cut into classes by frequency.  NCE learns both factors, on every token of every training text:
+each shard of texts trains in numpy from the same start, and each symbol's parameters are averaged over the shards by
+how often they met it, so a rare word is not watered down by shards that lack it.  Scoring normalises each factor
+with batched matrix products.
 """
 
 from __future__ import annotations
@@ -12,12 +14,13 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,232 +28,417 @@ from cinnabar.llm.common import slices, stage
 
 #: The end of a text, as a token; no word contains a space.
 END = b" "
-CLASSES = 256
+#: Longer words are known by their digest, which bounds the tables of words.
+LONG = 64
 
 
 @dataclass(frozen=True)
 class Settings:
     folds: int = 7
     held_out: int = 2
-    own_class: int = 191  # frequent words with a class of their own; class 0 is the end
+    #: Words that occur so often in training are symbols of their own, the most frequent of them at most `vocabulary`.
+    least_count: int = 10
+    vocabulary: int = 32_768
+    endings: int = 64  # symbols for all other words
+    classes: int = 128
     #: Words with the highest counts go to every worker, at most so many; the others' counts come by a join.
     frequent: int = 200_000
-    factors: int = 24
-    shards: int = 12
-    rounds: int = 3
-    steps: int = 150  # batches a round at least: a small shard is passed over more than once
+    factors: int = 16
+    rounds: int = 1
+    shard: int = 4_000_000  # tokens of a shard, about
+    buffer: int = 1 << 20  # tokens that are shuffled among each other
+    steps: int = 1000  # batches of a shard at least: a small one is passed over more than once
     batch: int = 2048
-    noise: int = 48
-    rate: float = 0.15
+    class_noise: int = 16  # drawn for a batch
+    word_noise: int = 2  # drawn for a token, in its class
+    rate: float = 0.2
+    calm: float = 0.5  # what AdaGrad's sums of squares start from
+    block: int = 1024  # symbols of a row when models are averaged
+    tile: int = 16_384  # tokens scored at once
     seed: int = 3
 
-    @property
-    def endings(self) -> int:
-        return CLASSES - 1 - self.own_class
 
+def words(text: str | None) -> list[bytes]:
+    """Lower-cased (A-Z) words and the end."""
+    return [*(text or "").encode().lower().split(), END]
 
-def ending(word: bytes, s: Settings) -> int:
-    return 1 + s.own_class + zlib.crc32(word[-2:]) % s.endings
 
+def short(word: bytes) -> bytes:
+    return word if len(word) <= LONG else b" " + xxhash.xxh3_128_digest(word)
 
-class _Classes(dict):
-    """word -> class; endings are worked out when first met."""
 
-    def __init__(self, own: dict[bytes, int], s: Settings):
-        super().__init__(own)
-        self.own, self.s = own, s
+def ending(word: bytes, s: Settings) -> int:
+    return zlib.crc32(word[-2:]) % s.endings
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
-            self.clear()
-            self.update(self.own)
-        at = self[word] = ending(word, self.s)
-        return at
 
-
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words and the end."""
-    return [*(text or "").encode().lower().split(), END]
+# counts
 
 
 def count_words(texts: DataFrame, s: Settings) -> DataFrame:
-    """word, c over the texts, staged.  Partitions count first and hand over a bounded table at a time."""
+    """word, c (in training), n (in all texts), staged.  texts: text, train.  Partitions count first and hand over a
+    bounded table at a time."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        some: Counter = Counter()
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(some.keys(), pa.binary()), pa.array(some.values(), pa.int64())], ["word", "c"])
+            both = list(seen[0].keys() | seen[1].keys())
+            c = [seen[1][w] for w in both]
+            return pa.RecordBatch.from_arrays([pa.array(list(map(short, both)), pa.binary()), pa.array(c, pa.int64()), pa.array([seen[0][w] + k for w, k in zip(both, c, strict=True)], pa.int64())], ["word", "c", "n"])
 
         for batch in slices(batches):
-            for t in batch.column(0).to_pylist():
-                some.update(words(t))
-            if len(some) > 200_000:
+            for t, train in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[train].update(words(t))
+            if len(seen[0]) + len(seen[1]) > 200_000:
                 yield out()
-                some.clear()
+                seen[0].clear()
+                seen[1].clear()
         yield out()
 
-    return stage(texts.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "words")
-
-
-def _bucket(c: str):
-    return F.floor(F.log2(F.col(c)) * 8)
+    return stage(texts.mapInArrow(run, "word binary, c bigint, n bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
 
 
 def frequent_words(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
-    """The words with c >= a limit, at most `most`, and the limit.  The histogram has a few hundred rows."""
-    rows = counts.groupBy(_bucket("c").alias("at")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("at")).collect()
+    """The training counts of the words with n >= a limit, at most `most`, and the limit.  The histogram has a few
+    hundred rows, and words of at most LONG bytes."""
+    at = F.floor(F.log2("n") * 8)
+    rows = counts.groupBy(at.alias("at")).agg(F.count("*").alias("many"), F.min("n").alias("least")).orderBy(F.desc("at")).collect()
     total, limit = 0, 1 << 62
     for r in rows:
-        total += r["n"]
+        total += r["many"]
         if total > most:
             break
         limit = r["least"]
-    got = counts.where(F.col("c") >= limit).select("word", "c").toPandas()
+    got = counts.where(F.col("n") >= limit).select("word", "c").toPandas()
     return dict(zip(map(bytes, got["word"]), got["c"].tolist(), strict=True)), limit
 
 
-def count_trigrams(texts: DataFrame, own: dict[bytes, int], s: Settings) -> DataFrame:
-    """code (two context classes and a class, a byte each), n: at most 2^24 rows for any corpus; staged."""
-    shared = texts.sparkSession.sparkContext.broadcast(own)
+def endings(counts: DataFrame, own: set[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Of each ending's words that are no symbols: their tokens in training, and the sum of their counts plus one."""
+    shared = counts.sparkSession.sparkContext.broadcast(own)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        get = _Classes(shared.value, s).__getitem__
-        held, size = [], 0
+        tokens, mass = np.zeros(s.endings, np.int64), np.zeros(s.endings, np.int64)
+        for batch in slices(batches, 10_000):
+            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if c and w not in shared.value:
+                    at = ending(w, s)
+                    tokens[at] += c
+                    mass[at] += c + 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(s.endings), pa.int32()), pa.array(tokens), pa.array(mass)], ["at", "tokens", "mass"])
 
-        def out():
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(n, pa.int64())], ["code", "n"])
+    out = np.zeros((2, s.endings), np.int64)
+    for r in counts.select("word", "c").mapInArrow(run, "at int, tokens bigint, mass bigint").groupBy("at").agg(F.sum("tokens").alias("t"), F.sum("mass").alias("m")).collect():  # a row an ending
+        out[:, r["at"]] = r["t"], r["m"]
+    return out[0], out[1]
 
-        for batch in slices(batches):
-            for t in batch.column(0).to_pylist():
-                held.append(codes(np.fromiter(map(get, words(t)), np.int32)))
-                size += len(held[-1])
-                if size > 1 << 20:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
 
-    return stage(texts.mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "trigrams")
+# symbols
 
 
-def codes(classes: np.ndarray) -> np.ndarray:
-    before = np.concatenate([np.zeros(2, np.int32), classes[:-1]])
-    return before[:-1] << 16 | before[1:] << 8 | classes
+@dataclass
+class Symbols:
+    """Numbers of the words: a word that all workers know has one below len(count), a negative one is ~its ending."""
+
+    number: dict[bytes, int]  # of frequent words
+    count: np.ndarray  # in training, by number
+    symbol: np.ndarray  # by number; the endings from behind, so that negative numbers index them
+    size: np.ndarray  # tokens of each symbol in training; symbols come by falling size
+    cut: np.ndarray  # classes are symbols cut[k] to cut[k + 1]
+    log_mass: np.ndarray  # by number: log10 of what a word shares its symbol with, 0 for one of its own
+    own: np.ndarray  # by number: has a symbol of its own
+
+    @property
+    def class_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.cut) - 1, dtype=np.int32), np.diff(self.cut))
+
+
+def symbols(counts: DataFrame, frequent: dict[bytes, int], s: Settings) -> Symbols:
+    names = sorted(frequent, key=lambda w: (-frequent[w], w))
+    own = [w for w in names if w == END or frequent[w] >= s.least_count][: s.vocabulary]
+    own = own if END in own else [*own[: s.vocabulary - 1], END]
+    chosen = set(own)
+    tokens, mass = endings(counts, chosen, s)
+    size = np.concatenate([[frequent.get(w, 0) for w in own], tokens]).astype(np.int64)
+    order = np.argsort(-size, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    size = size[order]
+    share = np.cumsum(np.sqrt(size + 1.0))
+    cut = np.unique(np.concatenate([[0], np.searchsorted(share, share[-1] * np.arange(1, s.classes) / s.classes) + 1, [len(size)]]))
+    names = [*own, *(w for w in names if w not in chosen)]
+    at = np.array([ending(w, s) for w in names[len(own) :]], np.int64)
+    by_ending = rank[len(own) :]
+    symbol = np.concatenate([rank[: len(own)], by_ending[at], by_ending[::-1]]).astype(np.int32)
+    shared = np.log10(mass + 1.0)  # one for the words that training lacks
+    log_mass = np.concatenate([np.zeros(len(own)), shared[at], shared[::-1]])
+    count = np.concatenate([[frequent.get(w, 0) for w in names], np.zeros(s.endings)]).astype(np.int64)
+    return Symbols({w: i for i, w in enumerate(names)}, count, symbol, size, cut, log_mass, np.arange(len(symbol)) < len(own))
+
+
+class _Numbers(dict):
+    """word -> number; those of unknown words are worked out when first met."""
+
+    def __init__(self, known: dict[bytes, int], s: Settings):
+        super().__init__(known)
+        self.known, self.s = known, s
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > len(self.known) + 200_000:
+            self.clear()
+            self.update(self.known)
+        at = self.known.get(short(word)) if len(word) > LONG else None
+        at = self[word] = ~ending(short(word), self.s) if at is None else at
+        return at
+
+
+def contexts(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' symbols in a row, each text after two ends, and the places of their tokens."""
+    gap = np.full(2, end, np.int32)
+    row = np.concatenate([x for t in texts for x in (gap, t)] or [gap])
+    first = np.ones(len(row), bool)
+    start = np.cumsum([0, *(len(t) + 2 for t in texts)])[:-1]
+    first[start] = first[start + 1] = False
+    return row, np.flatnonzero(first) if texts else np.empty(0, np.int64)
+
+
+# the model
 
 
 @dataclass
 class Model:
-    context: np.ndarray  # CLASSES x factors, vectors as context
-    near: np.ndarray  # factors, weight of the word before
-    far: np.ndarray  # factors, weight of the one before that
-    target: np.ndarray  # CLASSES x factors
-    bias: np.ndarray  # CLASSES
-    known: np.ndarray | None = None  # the table, once a worker has made it
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.near, self.far, self.target, self.bias)])
-
-    @staticmethod
-    def of(flat: np.ndarray, d: int) -> Model:
-        a, b, c, e = np.split(flat, np.cumsum([CLASSES * d, d, d, CLASSES * d]))[:4]
-        return Model(a.reshape(-1, d).copy(), b.copy(), c.copy(), e.reshape(-1, d).copy(), flat[-CLASSES:].copy())
-
-    def table(self) -> np.ndarray:
-        """log10 p(class | context) for all CLASSES^2 contexts, float32."""
-        if self.known is not None:
-            return self.known
-        out = np.empty((CLASSES * CLASSES, CLASSES), np.float32)
-        for far in range(0, CLASSES, 16):
-            h = ((self.context[far : far + 16] * self.far)[:, None, :] + (self.context * self.near)[None]).reshape(-1, len(self.near))
-            x = (h @ self.target.T + self.bias).astype(np.float32)
-            x -= x.max(1, keepdims=True)
-            x -= np.log(np.exp(x).sum(1, keepdims=True))
-            out[far * CLASSES : (far + 16) * CLASSES] = x / np.float32(math.log(10))
-        self.known = out
-        return out
-
-
-def passes(n: np.ndarray, s: Settings, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers in the order of training, and their weights: whole passes over all rows.
-
-    In a pass a row's weights add up to its count over the mean count.  A count above the mean is dealt over several
-    places, so that no weight exceeds one; a pass has at most twice as many places as rows.
-    """
-    share = n / n.mean()
-    places = np.ceil(share).astype(np.int64)
-    once = np.repeat(np.arange(len(n), dtype=np.int32), places)
-    order = np.concatenate([rng.permutation(once) for _ in range(-(-s.steps * s.batch // len(once)))])
-    return order, (share / places).astype(np.float32)[order]
-
-
-def nce(model: Model, code: np.ndarray, n: np.ndarray, noise_p: np.ndarray, s: Settings, seed: int) -> Model:
-    """Mini-batch NCE on all trigrams, weighted by their counts; a batch shares its noise, so all scores are matrix products."""
-    rng = np.random.default_rng(seed)
-    order, weight = passes(n, s, rng)
-    m = Model.of(model.flat().astype(np.float32), s.factors)
-    sums = [np.full_like(x, 1e-3) for x in (m.context, m.near, m.far, m.target, m.bias)]
-    log_noise = np.log(s.noise * noise_p).astype(np.float32)
-    for first in range(0, len(order), s.batch):
-        drawn = code[order[first : first + s.batch]]
-        by = weight[first : first + s.batch] / s.batch
-        c2, c1, w = drawn >> 16, drawn >> 8 & 255, drawn & 255
-        r1, r2 = m.context[c1], m.context[c2]
-        h = r1 * m.near + r2 * m.far
-        k = rng.choice(CLASSES, s.noise, p=noise_p)
-        pos = (h * m.target[w]).sum(1) + m.bias[w] - log_noise[w]
-        neg = h @ m.target[k].T + m.bias[k] - log_noise[k]
-        e_pos = (1 / (1 + np.exp(-pos)) - 1).astype(np.float32) * by  # d loss / d score
-        e_neg = (1 / (1 + np.exp(-neg))).astype(np.float32) * by[:, None]
-        dh = e_pos[:, None] * m.target[w] + e_neg @ m.target[k]
-        one = np.zeros((CLASSES, len(drawn)), np.float32)
-        at = np.arange(len(drawn))
-        one[w, at] = e_pos
-        d_target, d_bias = one @ h, one.sum(1)
-        np.add.at(d_target, k, e_neg.T @ h)
-        np.add.at(d_bias, k, e_neg.sum(0))
-        one[w, at] = 0
-        one[c1, at] = 1
-        d_context = one @ (dh * m.near)
-        one[c1, at] = 0
-        one[c2, at] = 1
-        d_context += one @ (dh * m.far)
-        for x, g, q in zip((m.context, m.near, m.far, m.target, m.bias), (d_context, (dh * r1).sum(0), (dh * r2).sum(0), d_target, d_bias), sums, strict=True):
-            q += np.square(g)
-            x -= s.rate * g / np.sqrt(q)
-    return m
+    context: np.ndarray  # symbols x factors
+    target: np.ndarray  # symbols x factors
+    bias: np.ndarray  # symbols
+    classes: np.ndarray  # classes x factors
+    class_bias: np.ndarray
+    mix: np.ndarray  # 2 x factors: weights of the word before and of the one before that
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.context, self.target, self.bias, self.classes, self.class_bias, self.mix
+
+    def copy(self) -> Model:
+        return Model(*(x.copy() for x in self.parts()))
+
+    def hidden(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        return self.context[near] * self.mix[0] + self.context[far] * self.mix[1]
+
+    def log_prob(self, near: np.ndarray, far: np.ndarray, w: np.ndarray, cut: np.ndarray, class_of: np.ndarray) -> np.ndarray:
+        """log10 p(w | near, far), normalised over all symbols."""
+        h, at = self.hidden(near, far), class_of[w]
+        out = np.concatenate([_log_softmax(h[k : k + 1024] @ self.classes.T + self.class_bias, at[k : k + 1024]) for k in range(0, max(len(w), 1), 1024)])
+        order = np.argsort(at, kind="stable")
+        found, begin = np.unique(at[order], return_index=True)
+        for k, a, b in zip(found, begin, [*begin[1:], len(at)], strict=True):
+            lo, hi = cut[k], cut[k + 1]
+            for e in range(a, b if hi - lo > 1 else a, 1024):
+                some = order[e : min(e + 1024, b)]
+                out[some] += _log_softmax(h[some] @ self.target[lo:hi].T + self.bias[lo:hi], w[some] - lo)
+        return out / math.log(10)
+
+
+def _log_softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(x)), at].astype(np.float64)
+    return own - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
+
+
+def start(y: Symbols, s: Settings) -> Model:
+    """Without training, each factor's bias is its share of the tokens, and a word says nothing of the next."""
+    word, group = _shares(y)
+    zero = lambda: np.zeros((len(word), s.factors), np.float32)
+    classes = np.random.default_rng(s.seed).normal(0, 0.3, (len(group), s.factors)).astype(np.float32)
+    mix = np.stack([np.ones(s.factors), np.full(s.factors, 0.5)]).astype(np.float32)
+    return Model(zero(), zero(), np.log(word).astype(np.float32), classes, np.log(group).astype(np.float32), mix)
+
+
+def _shares(y: Symbols) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each symbol in its class, and of each class in all."""
+    size = y.size + 1.0
+    group = np.add.reduceat(size, y.cut[:-1])
+    return size / group[y.class_of], group / group.sum()
+
+
+class Trainer:
+    """AdaGrad on NCE.  The classes' noise is shared by a batch, a token's word noise is drawn from its class."""
+
+    def __init__(self, model: Model, y: Symbols, s: Settings, seed: int):
+        self.m, self.y, self.s, self.rng = model.copy(), y, s, np.random.default_rng(seed)
+        self.sums = [np.full_like(x, s.calm) for x in self.m.parts()]
+        self.word, self.group = _shares(y)
+        self.class_of, self.total = y.class_of, np.concatenate([[0.0], np.cumsum(y.size + 1.0)])
+        self.log_word = np.log(s.word_noise * self.word).astype(np.float32)
+        self.log_group = np.log(s.class_noise * self.group).astype(np.float32)
+        self.met = np.zeros(len(y.size), np.int64)
+        self.steps = 0
+
+    def learn(self, row: np.ndarray, at: np.ndarray) -> None:
+        """One pass over the tokens at `at`, in a random order."""
+        at = self.rng.permutation(at)
+        self.met += np.bincount(row[at], minlength=len(self.met))
+        for k in range(0, len(at), self.s.batch):
+            some = at[k : k + self.s.batch]
+            self.step(row[some - 1], row[some - 2], row[some])
+
+    def update(self, part: int, rows, grad: np.ndarray) -> None:
+        x, q = self.m.parts()[part], self.sums[part]
+        q[rows] += np.square(grad)
+        x[rows] -= self.s.rate * grad / np.sqrt(q[rows])
+
+    def scatter(self, rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        return rows[first], np.add.reduceat(grad[order], first)
+
+    def step(self, near: np.ndarray, far: np.ndarray, w: np.ndarray) -> None:
+        m, s, rng, n = self.m, self.s, self.rng, len(w)
+        self.steps += 1
+        r1, r2 = m.context[near], m.context[far]
+        h = r1 * m.mix[0] + r2 * m.mix[1]
+        one = lambda x: (1 / (1 + np.exp(-x))).astype(np.float32)
+        # the class against noise classes
+        own = self.class_of[w]
+        k = rng.choice(len(self.group), s.class_noise, p=self.group)
+        pos = (one((h * m.classes[own]).sum(1) + m.class_bias[own] - self.log_group[own]) - 1)
+        neg = one(h @ m.classes[k].T + (m.class_bias[k] - self.log_group[k]))
+        dh = pos[:, None] * m.classes[own] + neg @ m.classes[k]
+        rows, grad = self.scatter(np.concatenate([own, k]), np.concatenate([np.concatenate([pos[:, None] * h, pos[:, None]], 1), np.concatenate([neg.T @ h, neg.sum(0)[:, None]], 1)]))
+        # the word against noise words of its class
+        lo, hi = self.total[self.y.cut[own]], self.total[self.y.cut[own + 1]]
+        drawn = np.searchsorted(self.total, lo[:, None] + rng.random((n, s.word_noise)) * (hi - lo)[:, None], "right") - 1
+        drawn = np.clip(drawn, self.y.cut[own][:, None], self.y.cut[own + 1][:, None] - 1)
+        every = np.concatenate([w[:, None], drawn], 1)
+        q = m.target[every]
+        e = one(np.einsum("bd,bjd->bj", h, q) + m.bias[every] - self.log_word[every])
+        e[:, 0] -= 1
+        e[self.y.cut[own + 1] - self.y.cut[own] == 1] = 0
+        dh += np.einsum("bj,bjd->bd", e, q)
+        several = (e[:, :, None] * h[:, None, :]).reshape(-1, s.factors)
+        words_, grad_words = self.scatter(every.ravel(), np.concatenate([several, e.reshape(-1, 1)], 1))
+        near_far, grad_context = self.scatter(np.concatenate([near, far]), np.concatenate([dh * m.mix[0], dh * m.mix[1]]))
+        self.update(0, near_far, grad_context)
+        self.update(1, words_, grad_words[:, :-1])
+        self.update(2, words_, grad_words[:, -1])
+        self.update(3, rows, grad[:, :-1])
+        self.update(4, rows, grad[:, -1])
+        self.update(5, slice(None), np.stack([(dh * r1).sum(0), (dh * r2).sum(0)]))
+
+
+# training on shards
+
+
+def _pack(m: Model, met: np.ndarray, y: Symbols, s: Settings) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(block, weights, parameters): rows of symbols that were met, a block of them at a time; -1 is all the rest."""
+    each = np.concatenate([m.context, m.target, m.bias[:, None]], 1)
+    for k in range(0, len(met), s.block):
+        if met[k : k + s.block].any():
+            yield k // s.block, met[k : k + s.block].astype(np.float64), each[k : k + s.block]
+    group = np.add.reduceat(met, y.cut[:-1]).astype(np.float64)
+    rest = np.concatenate([np.concatenate([m.classes, m.class_bias[:, None]], 1), np.concatenate([m.mix, np.zeros((2, 1), np.float32)], 1)])
+    yield -1, np.concatenate([group, np.full(2, met.sum(), np.float64)]), rest
+
+
+def _sums(batches) -> Iterator[pa.RecordBatch]:
+    """Sums of weights and of weighted parameters by block: one of each is held, however many models there are."""
+    held: dict[int, list] = {}
+    lane = 0
+    for batch in batches:
+        for block, at, weight, params in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            w, lane = np.frombuffer(weight), at
+            p = np.frombuffer(params).reshape(len(w), -1)
+            if block in held:
+                held[block][0] += w
+                held[block][1] += p
+            else:
+                held[block] = [w.copy(), p.copy()]
+    yield _rows((b, lane, w, p) for b, (w, p) in held.items())
+
+
+def _rows(rows: Iterable[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*((b, a, w.tobytes(), p.tobytes()) for b, a, w, p in rows), strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "lane", "weight", "params"])
+
+
+_ROWS = "block int, lane int, weight binary, params binary"
+
+
+def train(texts: DataFrame, y: Symbols, tokens: int, s: Settings) -> Model:
+    """Rounds over all texts.  Shards are as many as their tokens ask for; models meet in two steps, so that a task
+    adds up about the root of their number.  The driver gets one model."""
+    model = start(y, s)
+    shards = max(1, -(-tokens // s.shard))
+    lanes = max(1, math.isqrt(shards))
+    for turn in range(s.rounds if tokens else 0):
+        shared = texts.sparkSession.sparkContext.broadcast((model, y))
+
+        def run(batches, shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            model, y = shared.value
+            task = TaskContext.get().partitionId()
+            numbers, end = _Numbers(y.number, s), int(y.symbol[y.number[END]])
+            trainer = Trainer(model, y, s, 1_000_003 * turn + task)
+            held: list[np.ndarray] = []
+            many, last = 0, None
+            for batch in slices(batches):
+                for t in batch.column(0).to_pylist():
+                    held.append(y.symbol[np.fromiter(map(numbers.__getitem__, words(t)), np.int64)])
+                    many += len(held[-1])
+                    if many >= s.buffer:
+                        last = contexts(held, end)
+                        trainer.learn(*last)
+                        held, many = [], 0
+            if held:
+                last = contexts(held, end)
+                trainer.learn(*last)
+            while last is not None and trainer.steps < s.steps:
+                trainer.learn(*last)
+            if last is not None:
+                for b, w, p in _pack(trainer.m, trainer.met, y, s):
+                    yield _rows([(b, task % lanes, w, p * w[:, None])])
+
+        each = texts.select("text").coalesce(shards).mapInArrow(run, _ROWS)
+        few = each.repartition("block", "lane").mapInArrow(_sums, _ROWS)
+        got = few.repartition("block").mapInArrow(_sums, _ROWS).collect()  # a row a block
+        model = _merge(got, model, s)
+    return model
 
 
-def start(unigram: np.ndarray, s: Settings) -> Model:
-    rng = np.random.default_rng(s.seed)
-    normal = lambda: rng.normal(0, 0.1, (CLASSES, s.factors))
-    return Model(normal(), np.ones(s.factors), np.full(s.factors, 0.5), normal(), np.log(unigram))
+def _merge(rows: list, before: Model, s: Settings) -> Model:
+    """The averages; what no shard has met stays as it was."""
+    m, d = before.copy(), s.factors
+    for r in rows:
+        w = np.frombuffer(r["weight"])
+        p = np.frombuffer(r["params"]).reshape(len(w), -1)
+        at = np.flatnonzero(w)
+        mean = (p[at] / w[at, None]).astype(np.float32)
+        if r["block"] >= 0:
+            to = at + r["block"] * s.block
+            m.context[to], m.target[to], m.bias[to] = mean[:, :d], mean[:, d : 2 * d], mean[:, -1]
+        else:
+            k = len(m.class_bias)
+            group = at[at < k]
+            m.classes[group], m.class_bias[group] = mean[: len(group), :d], mean[: len(group), -1]
+            if len(group) < len(at):
+                m.mix = mean[len(group) :, :d].copy()
+    return m
 
 
-def train(trigrams: DataFrame, unigram: np.ndarray, s: Settings) -> Model:
-    """Rounds of NCE on each shard, averaged by the shards' tokens.  The driver gets a model a shard."""
-    model = start(unigram, s)
-    shards = stage(trigrams.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(s.shards)).cast("int")), "shards")
-    for turn in range(s.rounds):
-        model = average(shards, model, unigram, s, turn)
-    return model
+# scores
 
 
-def average(shards: DataFrame, model: Model, unigram: np.ndarray, s: Settings, turn: int) -> Model:
-    shared = shards.sparkSession.sparkContext.broadcast(model)
+def fit(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> tuple[Model, Symbols, DataFrame, int, int, int]:  # noqa: B008
+    """Model, symbols, counts of words (staged), least n of a frequent word, training tokens and distinct ones."""
+    s = settings
+    rows = docs.select(F.col(text).cast("string").alias("text"), (~_held(doc_id, s)).alias("train"))
+    counts = count_words(rows, s)
+    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    frequent, limit = frequent_words(counts, s.frequent)
+    y = symbols(counts, frequent, s)
+    return train(rows.where("train").select("text"), y, whole["n"], s), y, counts, limit, whole["n"], whole["v"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("code")
-        m = nce(shared.value, pdf["code"].to_numpy(), pdf["n"].to_numpy(), unigram, s, 1000 * turn + int(pdf["shard"].iloc[0]))
-        return pd.DataFrame({"n": [int(pdf["n"].sum())], "flat": [m.flat().astype(np.float32).tobytes()]})
 
-    got = shards.groupBy("shard").applyInPandas(run, "n bigint, flat binary").collect()  # a model a shard
-    if not got:
-        return model
-    got.sort(key=lambda r: bytes(r["flat"]))
-    total = sum(r["n"] for r in got)
-    return Model.of(sum(np.frombuffer(r["flat"], np.float32).astype(np.float64) * (r["n"] / total) for r in got), s.factors)
+def _held(doc_id: str, s: Settings):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % s.folds == s.held_out, F.lit(True))
 
 
 def score(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
@@ -261,79 +449,52 @@ def score(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_i
     learned and scored each; an empty table gives no rows; other columns are ignored.  With nothing to learn from,
     both scores are those of the untrained model.
     """
-    s, spark = settings, docs.sparkSession
+    s = settings
+    model, y, counts, limit, n, v = fit(docs, s, doc_id, text)
+    divisor = math.log10(n + v + 1)
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % s.folds == s.held_out, F.lit(True))
-    training = rows.where(~held).select("text")
-    counts = count_words(training, s)
-    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    divisor = math.log10(whole["n"] + whole["v"] + 1)
-    frequent, limit = frequent_words(counts, s.frequent)
-    own = {w: 1 + i for i, (w, _) in enumerate(sorted(((w, c) for w, c in frequent.items() if w != END), key=lambda x: (-x[1], x[0]))[: s.own_class])}
-    own[END] = 0
-    trigrams = count_trigrams(training, own, s)
-    by_class = np.ones(CLASSES)
-    for r in trigrams.groupBy((F.col("code") % CLASSES).alias("w")).agg(F.sum("n").alias("n")).collect():  # CLASSES rows
-        by_class[r["w"]] += r["n"]
-    unigram = by_class / by_class.sum()
-    model = train(trigrams, unigram, s)
-    # log10 of the smoothed counts in a class: of its words and, in the shared classes, one for those unseen
-    distinct = np.zeros(CLASSES)
-    for r in class_sizes(counts, own, s).collect():  # CLASSES rows
-        distinct[r["at"]] = r["v"]
-    mass = by_class - 1 + distinct
-    mass[1 + s.own_class :] += 1
-    mass[mass == 0] = 1
-    log_mass = np.log10(mass)
-    log_count = {w: math.log10(c + 1) for w, c in frequent.items()}
-    shared = spark.sparkContext.broadcast((log_count, own, model, log_mass))  # s.frequent words at most
+    shared = docs.sparkSession.sparkContext.broadcast((model, y))  # s.frequent words at most
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        value, own, model, log_mass = shared.value
-        classes, table = _Classes(own, s), model.table()
-        for batch in slices(batches):
-            out = []
-            for t in batch.column(1).to_pylist():
+        model, y = shared.value
+        numbers, class_of, end = _Numbers(y.number, s), y.class_of, int(y.symbol[y.number[END]])
+        logs = np.log10(y.count + 1.0)
+        extra = np.where(y.own, 0.0, logs - y.log_mass)  # a word's part of its ending's symbol, but for rare words' counts
+        known = y.count > 0
+        for batch in slices(batches, 250):
+            rows, at, rare = batch.column(1).to_pylist(), [], []
+            for t in rows:
                 tokens = words(t)
-                logs = list(map(value.get, tokens))
-                rare: Counter = Counter(w for w, x in zip(tokens, logs, strict=True) if x is None) if None in logs else Counter()
-                at = np.fromiter(map(classes.__getitem__, tokens), np.int32, len(tokens))
-                code = codes(at)
-                model_part = float(table[code >> 8, at].sum(dtype=np.float64) - log_mass[at].sum())
-                out.append((len(tokens), len(tokens) - rare.total(), math.fsum(x for x in logs if x is not None) if rare else math.fsum(logs), model_part, [{"word": w, "n": n} for w, n in rare.items()]))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], ["doc_id", "n_tokens", "n_frequent", "logs", "model", "rare"])
+                got = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
+                at.append(got)
+                odd = np.flatnonzero(got < 0)
+                rare.append([{"word": w, "n": c} for w, c in Counter(short(tokens[i]) for i in odd).items()])
+            every, begin = np.concatenate(at), np.cumsum([0, *map(len, at)])[:-1]
+            row, place = contexts([y.symbol[x] for x in at], end)
+            found = np.empty(len(place))
+            for k in range(0, len(place), s.tile):
+                some = place[k : k + s.tile]
+                found[k : k + s.tile] = model.log_prob(row[some - 1], row[some - 2], row[some], y.cut, class_of)
+            sums = [np.add.reduceat(x, begin) for x in (known[every].astype(np.int64), logs[every], found + extra[every])]
+            cols = [pa.array(list(map(len, at)), pa.int64()), *map(pa.array, sums), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_tokens", "n_frequent", "logs", "model", "rare"])
 
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = f"doc_id {kind}, n_tokens bigint, n_frequent bigint, logs double, model double, rare array<struct<word: binary, n: bigint>>"
-    scored = stage(rows.mapInArrow(run, schema), "scored").withColumn("_id", F.monotonically_increasing_id())
-    few = counts.where(F.col("c") < limit)
+    # numbered in the table: made anew on each read, numbers would follow the splits of that read
+    scored = stage(rows.mapInArrow(run, schema).withColumn("_id", F.monotonically_increasing_id()), "scored")
+    # a word here stands in fewer than `limit` places in all texts, so no key of this join is hot
+    few = counts.where((F.col("n") < limit) & (F.col("c") > 0)).select("word", "c")
     rare = scored.select("_id", F.explode("rare").alias("r")).select("_id", "r.word", "r.n").join(few, "word")
     rest = rare.groupBy("_id").agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_logs"))
     both = scored.drop("rare").join(rest, "_id", "left")
-    logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
+    rare_logs = F.coalesce("rare_logs", F.lit(0.0))
     return both.select(
         "doc_id",
-        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % s.folds == s.held_out, F.lit(True)).alias("held_out"),
+        _held("doc_id", s).alias("held_out"),
         "n_tokens",
         (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        F.lit(whole["n"]).cast("bigint").alias("train_tokens"),
-        (logs - F.col("n_tokens") * divisor).alias("base_score"),
-        (logs + F.col("model")).alias("score"),
+        F.lit(n).cast("bigint").alias("train_tokens"),
+        (F.col("logs") + rare_logs - F.col("n_tokens") * divisor).alias("base_score"),
+        (F.col("model") + rare_logs).alias("score"),
     )
-
-
-def class_sizes(counts: DataFrame, own: dict[bytes, int], s: Settings) -> DataFrame:
-    """at (class), v: the distinct words of each class."""
-    shared = counts.sparkSession.sparkContext.broadcast(own)
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES, np.int64)
-        for batch in slices(batches):
-            get = shared.value.get
-            at = [get(w, -1) for w in batch.column(0).to_pylist()]
-            total += np.bincount([a if a >= 0 else ending(w, s) for a, w in zip(at, batch.column(0).to_pylist(), strict=True)], minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES), pa.int32()), pa.array(total, pa.int64())], ["at", "v"])
-
-    return counts.select("word").mapInArrow(run, "at int, v bigint").groupBy("at").agg(F.sum("v").alias("v"))

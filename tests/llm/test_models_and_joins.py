@@ -122,13 +122,15 @@ def scored(spark):
     for i in range(400):
         text = " ".join(x for _ in range(r.randrange(1, 30)) for x in (r.choice(["the", "a"]), r.choice(["cat", "dog", f"Rare{r.randrange(300)}"]), r.choice(["sat", "ran."])))
         rows.append((i, text))
-    rows += [(1000, None), (1001, ""), (1002, "unseen words é"), (None, "the cat"), (3, rows[3][1])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    return rows, lbl.score(df, lbl.Settings(frequent=50, own_class=10, steps=60, shards=3)).collect()
+    long = "x" * 100
+    rows += [(1000, None), (1001, ""), (1002, f"unseen words é {long}z"), (None, "the cat"), (3, rows[3][1])] + [(2000 + i, f"{long} cat {long}y") for i in range(8)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, word string").repartition(6)
+    s = lbl.Settings(frequent=50, least_count=4, vocabulary=30, endings=8, classes=6, steps=200, shard=2500, buffer=900, batch=64, block=16, tile=100)
+    return rows, lbl.score(df, s).collect(), s, df
 
 
 def test_base_scores(scored):
-    rows, got = scored
+    rows, got, *_ = scored
     train = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
     c = Counter(x for t in train for x in [*words(t), " "])
     n, v = c.total(), len(c)
@@ -141,26 +143,85 @@ def test_base_scores(scored):
 
 
 def test_the_model_beats_the_base_on_held_out_documents(scored):
-    _, got = scored
+    _, got, *_ = scored
     held = [r for r in got if r["held_out"] and r["n_tokens"] > 1]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_every_trigram_trains_whatever_its_count():
-    s = lbl.Settings(steps=1, batch=16)
-    code = np.arange(1, 200) << 8 | np.arange(1, 200)
-    n = np.where(code == code[0], 10**9, 1)
-    before = lbl.start(np.full(lbl.CLASSES, 1 / lbl.CLASSES), s)
-    after = lbl.nce(before, code, n, np.full(lbl.CLASSES, 1 / lbl.CLASSES), s, 1)
-    assert (after.context != before.context.astype(np.float32)).any(1)[:200].all()
-    order, weight = lbl.passes(n, s, np.random.default_rng(0))
-    assert np.allclose(np.bincount(order, weight), n / n.mean()) and weight.max() <= 1 and len(order) <= 2 * len(n)
-
-
-def test_the_table_is_normalised():
-    s = lbl.Settings()
-    table = lbl.start(np.full(lbl.CLASSES, 1 / lbl.CLASSES), s).table()
-    assert np.allclose((10.0**table).sum(1), 1, atol=1e-4)
+def test_the_score_is_the_sum_of_normalised_token_probabilities(scored):
+    rows, got, s, df = scored
+    m, y, *_ = lbl.fit(df, s)
+    train = Counter(x for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for x in lbl.words(t))
+    own = {w for w, k in y.number.items() if y.own[k]}
+    assert len(own) > 20 and all(train[w] >= s.least_count or w == lbl.END for w in map(bytes, own) if len(w) <= 16)
+    by_ending = {}  # the symbol of each ending
+    for e in range(s.endings):
+        by_ending[e] = int(y.symbol[~e])
+    size = Counter(lbl.short(w) for w in train)
+    mass = Counter()
+    for w in size:
+        if w not in own:
+            mass[lbl.ending(w, s)] += train[w] + 1 if w in train else next(c for x, c in train.items() if lbl.short(x) == w) + 1
+
+    def symbol(w):
+        return int(y.symbol[y.number[w]]) if w in own else by_ending[lbl.ending(w, s)]
+
+    def probability(near, far, at):
+        h = m.context[near].astype(float) * m.mix[0] + m.context[far].astype(float) * m.mix[1]
+        group = next(k for k in range(len(y.cut) - 1) if y.cut[k] <= at < y.cut[k + 1])
+        first = [math.exp(h @ m.classes[k] + m.class_bias[k]) for k in range(len(y.cut) - 1)]
+        second = {k: math.exp(h @ m.target[k] + m.bias[k]) for k in range(y.cut[group], y.cut[group + 1])}
+        return first[group] / sum(first) * second[at] / sum(second.values())
+
+    end = symbol(lbl.END)
+    n = len(y.size)
+    assert sum(probability(end, 3, k) for k in range(n)) == pytest.approx(1)
+    for r, (_, t) in ((r, x) for r in got for x in dict.fromkeys(rows[::7] + rows[-14:]) if x[0] == r["doc_id"]):
+        total, before = 0.0, [end, end]
+        for x in lbl.words(t):
+            w = lbl.short(x)
+            total += math.log10(probability(before[1], before[0], symbol(w)))
+            if w not in own:
+                total += math.log10((train[x] + 1) / (mass[lbl.ending(w, s)] + 1))
+            before = [before[1], symbol(w)]
+        assert r["score"] == pytest.approx(total, rel=1e-4, abs=0.01)
+
+
+def _symbols(size, cut):
+    n = len(size)
+    return lbl.Symbols({}, np.array(size), np.arange(n), np.array(size), np.array(cut), np.zeros(n), np.ones(n, bool))
+
+
+def test_every_token_trains_and_is_counted():
+    s = lbl.Settings(batch=16, steps=1)
+    y = _symbols([50, 40, 3, 2, 1], [0, 1, 2, 5])
+    texts = [np.array([0, 1, 1, 2, 0]), np.array([4]), np.array([], int), np.array([1, 3, 0])]
+    row, at = lbl.contexts(texts, 0)
+    assert row[at].tolist() == [0, 1, 1, 2, 0, 4, 1, 3, 0] and row[at - 1].tolist() == [0, 0, 1, 1, 2, 0, 0, 1, 3] and row[at - 2].tolist() == [0, 0, 0, 1, 1, 0, 0, 0, 1]
+    trainer = lbl.Trainer(lbl.start(y, s), y, s, 1)
+    trainer.learn(row, at)
+    trainer.learn(row, at)
+    assert trainer.met.tolist() == [6, 6, 2, 2, 2]
+    before = lbl.start(y, s)
+    assert (trainer.m.target[2:] != before.target[2:]).any(1).all() and (trainer.m.context[:4] != before.context[:4]).any(1).all()
+    assert (trainer.m.target[:2] == before.target[:2]).all()  # alone in their classes
+
+
+def test_a_symbol_is_averaged_over_the_shards_that_met_it():
+    s = lbl.Settings(block=2, factors=3)
+    y = _symbols([9, 8, 7, 6, 5], [0, 2, 5])
+    rng = np.random.default_rng(2)
+    models = [lbl.Model(*(rng.normal(size=x.shape).astype(np.float32) for x in lbl.start(y, s).parts())) for _ in range(2)]
+    met = [np.array([1, 0, 4, 0, 0]), np.array([3, 0, 0, 2, 0])]
+    rows = [(b, k, w, p * w[:, None]) for k in range(2) for b, w, p in lbl._pack(models[k], met[k], y, s)]
+    level = list(lbl._sums([lbl._rows(rows[:3]), lbl._rows(rows[3:])]))
+    before = lbl.start(y, s)
+    got = lbl._merge(level[0].to_pylist(), before, s)
+    a, b = models
+    assert np.allclose(got.target[0], (a.target[0] + 3 * b.target[0]) / 4, atol=1e-6)
+    assert np.allclose(got.context[2], a.context[2]) and np.allclose(got.bias[3], b.bias[3])
+    assert (got.target[[1, 4]] == before.target[[1, 4]]).all()
+    assert np.allclose(got.classes[1], (4 * a.classes[1] + 2 * b.classes[1]) / 6, atol=1e-6) and np.allclose(got.mix, (a.mix + b.mix) / 2, atol=1e-6)
 
 
 def test_language_model_of_nothing(spark):

@@ -34,7 +34,7 @@ class Settings:
     #: A pair goes to verification if so many coordinates agree: 5.6 standard deviations below the threshold's mean.
     least_equal: float = 0.70
     chunk: int = 1024  # members of a bucket that one unit of work holds half of, by their sketches
-    set_chunk: int = 512  # and with their shingle sets
+    set_chunk: int = 256  # and with their shingle sets
     hot: int = 1000  # a bucket with more nodes meets its facts in a salted join
     broadcast_ids: int = 1_000_000  # more ids than this meet the texts in a shuffle
 

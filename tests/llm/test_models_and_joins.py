@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -421,6 +422,101 @@ def test_deep_pages_take_the_same_path(spark):
     assert {r["page_id"]: r["text"] for r in html_wrapper.extract(df).collect()} == {i: f"main text {i}\nmore{i}" for i in range(3)}
 
 
+def texts_of(source):
+    return [b[2] for b in html_wrapper.page(source)[1]]
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<p title=it's>hello one</p><p>two</p><p>don't three</p><p>four</p>", ["hello one", "two", "don't three", "four"]),
+        ("<p a='x>y' b=\"<q>\">in</p>", ["in"]),
+        ("<p c='never closed>in<p>more", ["in", "more"]),
+        ("1 < 2 <3 </ x><p>a<!-- <p>b --><p>c<!d><?e?>", ["1 < 2 <3", "a", "c"]),
+        ("<p>kept<p>also<a href=", ["kept", "also"]),
+        ("<title>t</title><script>if (a < b) x('<p>')</script><p>in<script>open", ["in"]),
+    ],
+)
+def test_tags_are_read_as_browsers_read_them(source, want):
+    assert texts_of(source) == want
+
+
+@pytest.mark.parametrize("source", ["<a" * 500_000, "<p>x</p><h2>y</h2>" * 60_000, "<a b='\"" * 200_000, "<noscript>" * 100_000, "<!--" * 250_000, "<blockquote>" * 30_000 + "</x>" * 60_000 + "<li></li>" * 30_000, "<" * 1_000_000])
+def test_a_page_of_a_megabyte_takes_seconds(source):
+    began = time.monotonic()
+    html_wrapper.page(source)
+    assert time.monotonic() - began < 10
+
+
+def test_a_long_page_of_unlike_siblings_takes_seconds():
+    r = random.Random(1)
+    pages = ["".join(f"<div class={'abcdefg'[r.randrange(7)]}><p>{i}</p></div>" for i in range(6000)) for _ in range(2)]
+    began = time.monotonic()
+    root = html_wrapper.induce(pages)
+    assert time.monotonic() - began < 30 and len(root.children) > 100
+
+
+def random_tree(r, depth=3):
+    return html_wrapper.Tree(r.choice("ab"), False, [random_tree(r, depth - 1) for _ in range(r.randrange(4))] if depth else [])
+
+
+def as_slot(x):
+    return html_wrapper.Slot(x.label, False, [as_slot(c) for c in x.children])
+
+
+def most_shared(x, y):
+    """The definition of simple tree matching, without sharing any work."""
+    if x.label != y.label:
+        return 0
+
+    def best(a, b):
+        if not a or not b:
+            return 0
+        return max(best(a[1:], b), best(a, b[1:]), best(a[1:], b[1:]) + most_shared(a[0], b[0]))
+
+    return 1 + best(x.children, y.children)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_matching_shares_the_most_nodes(seed):
+    r = random.Random(seed)
+    x, y = random_tree(r), random_tree(r)
+    y.label = x.label
+    slot, known = as_slot(y), {}
+
+    def shared(a, b):
+        pairs = html_wrapper.match(a, b, known)
+        assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        assert all(a.children[i].label == b.children[j].label for i, j in pairs)
+        return 1 + sum(shared(a.children[i], b.children[j]) for i, j in pairs)
+
+    assert shared(x, slot) == most_shared(x, y)
+
+
+def test_matching_within_the_band(monkeypatch):
+    monkeypatch.setattr(html_wrapper, "BAND", 4)
+    for seed in range(60):
+        r = random.Random(seed)
+        a = [html_wrapper.Tree(r.choice("abc"), False, []) for _ in range(r.randrange(5, 30))]
+        b = [html_wrapper.Slot(r.choice("abc"), False) for _ in range(r.randrange(5, 30))]
+        pairs = html_wrapper.match(html_wrapper.Tree("x", False, a), html_wrapper.Slot("x", False, b), {})
+        rows = html_wrapper.band(len(a), len(b))
+        best = {}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                fits = i and j and j - 1 in rows[i - 1] and a[i - 1].label == b[j - 1].label
+                best[i, j] = max(best.get((i - 1, j), 0), best.get((i, j - 1), 0), best.get((i - 1, j - 1), 0) + 1 if fits else 0)
+        assert len(pairs) == best[len(a), len(b)] and all(j in rows[i] and a[i].label == b[j].label for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+def test_siblings_that_repeat_in_turn_count_once():
+    leaf = lambda c: html_wrapper.Tree(c, False, [])
+    for text, want in [("aaaa", "a"), ("ababab", "ab"), ("abcabcabd", "abcabd"), ("aabaab", "ab"), ("abcd", "abcd"), ("", "")]:
+        kept, at = html_wrapper.once([leaf(c) for c in text])
+        assert "".join(x.label for x in kept) == want and "".join(kept[k].label for k in at) == text
+
+
 def test_a_text_on_some_pages_is_template(spark):
     notice = lambda i: "<div class=x><p>Get the paper</div>" if i % 10 == 0 else ""
     rows = [(i, "http://h.example/", f"<body>{notice(i)}<div><p>Text {i}</div>") for i in range(60)]

@@ -524,6 +524,14 @@ def test_a_text_on_some_pages_is_template(spark):
     assert got == {i: f"Text {i}" for i in range(60)}
 
 
+def test_what_near_copies_share_is_their_own(spark):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    copy = lambda i: f"<h1>Common title</h1><p>{text(0)} edit{i}<p>{text(1)}"
+    rows = [(i, "http://h.example/", f"<body><nav>Menu</nav><div class=x>Get the paper</div><article>{copy(i) if i < 20 else f'<h1>T{i}</h1><p>{text(i)}'}</article>") for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Common title\n{text(0)} edit{i}\n{text(1)}" if i < 20 else f"T{i}\n{text(i)}" for i in range(60)}
+
+
 def test_template_inside_an_article(spark):
     rows = [(i, "http://h.example/", f"<body><article><p>Text {i}<div class=x>Get the paper</div><p>More {i}</article>") for i in range(12)]
     got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinnabar.llm.common import salted_join, slices, stage
+from cinnabar.llm.common import salted_join, slices, stage, whole
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -110,12 +110,13 @@ def judge(docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id", text:
 
 
 def kept(docs: DataFrame, rules: Rules = Rules(), text: str = "text", host: str = "source") -> DataFrame:  # noqa: B008
-    """The rows of docs that `judge` keeps, with their columns.
+    """The rows of docs that `judge` keeps, with their columns, whatever their names.
 
-    The texts are measured twice, for the hosts and for themselves, which costs less than writing them once more.
+    Null and empty texts fail and go; a null host is the host ''; repeated rows are judged each; an empty table gives
+    no rows.  The texts are measured twice, for the hosts and for themselves, which costs less than writing them once more.
     """
     names = ["n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(whole(docs), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
         for batch in slices(batches):
@@ -123,11 +124,11 @@ def kept(docs: DataFrame, rules: Rules = Rules(), text: str = "text", host: str
             cols = [[r[k] for r in rows] for k in (0, 2, 3, 4, 5)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], ["doc", "host", *names])
 
-    schema = T.StructType([whole.schema["doc"], whole.schema["host"], *(T.StructField(n, T.LongType()) for n in names)])
+    schema = T.StructType([rows.schema["doc"], rows.schema["host"], *(T.StructField(n, T.LongType()) for n in names)])
     _, failed = _failures(rules)
-    hosts = host_rates(features(docs, docs.columns[0], text, host).select("host", failed.alias("rule_failed")))
+    hosts = host_rates(features(docs.select(F.lit(0).alias("_k"), F.col(text), F.col(host)), "_k", text, host).select("host", failed.alias("rule_failed")))
     bad = hosts.where(F.col("host_rate") > rules.max_host_rate).select("host")
-    return salted_join(whole.mapInArrow(run, schema).where(~failed), bad, ["host"], "left_anti").select("doc.*")
+    return salted_join(rows.mapInArrow(run, schema).where(~failed), bad, ["host"], "left_anti").select("doc.*")
 
 
 def host_rates(rows: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinnabar.llm.common import slices
+from cinnabar.llm.common import slices, stage, whole
 
 #: Fixed features come first, words are hashed behind them.
 STATS, BINS = 14, 16
@@ -29,8 +29,10 @@ SYMBOLS = "#*$%&|<>@^~_=+{}[]\\/"
 
 @dataclass(frozen=True)
 class Settings:
-    #: At most so many labelled documents are learned from; they are taken by a hash of doc_id.
+    #: At most so many labelled documents are learned from, with so many features in all (four bytes each on the
+    #: driver): those with the smallest hashes of doc_id, so the same on every run.
     sample: int = 10_000
+    features: int = 20_000_000
     factors: int = 8
     epochs: int = 10
     batch: int = 128
@@ -148,20 +150,24 @@ def fold(doc_id: str, folds: int):
 
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", label: str = "quality", n_chars: str = "n_chars") -> Machine:  # noqa: B008
     """Fit on at most settings.sample labelled documents outside fold 0.  Null ids and labels are skipped; several
-    labels of a document are averaged."""
+    labels of a document are averaged, rows that repeat an id are one document."""
     truth = labels.where((fold(doc_id, settings.folds) != 0) & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.avg(label).alias("y"))
-    known = truth.count()
-    share = min(1.0, settings.sample / max(known, 1))
-    some = truth.where(F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(settings.sample)
+    rank = F.xxhash64("doc_id", F.lit(settings.seed))
+    some = truth.withColumn("rank", rank).orderBy("rank", "doc_id").limit(settings.sample)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             got = [extract(t or "", n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary())], ["doc_id", "y", "index"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary())], ["doc_id", "y", "rank", "index"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     sample = _documents(docs, doc_id, text, n_chars).join(F.broadcast(some), "doc_id")  # settings.sample rows at most
-    rows = sample.mapInArrow(run, f"doc_id {kind}, y double, index binary").limit(settings.sample).toPandas().sort_values(["doc_id", "index"])
+    # rows with one id are one document
+    each = sample.mapInArrow(run, f"doc_id {kind}, y double, rank bigint, index binary").groupBy("doc_id").agg(F.first("y").alias("y"), F.first("rank").alias("rank"), F.min_by("index", F.xxhash64("index")).alias("index"))
+    each = stage(each, "sample")
+    sizes = each.select("rank", F.length("index").alias("size")).toPandas().sort_values("rank")  # settings.sample rows at most
+    fits = sizes["rank"][sizes["size"].cumsum() <= 4 * settings.features]
+    rows = each.where(F.col("rank") <= (int(fits.iloc[-1]) if len(fits) else -(1 << 63))).toPandas().sort_values(["rank", "doc_id"])
     data = []
     for y, raw in zip(rows["y"], rows["index"], strict=True):
         index = np.frombuffer(raw, "<i4").astype(np.int64)
@@ -193,10 +199,13 @@ def score(docs: DataFrame, machine: Machine, settings: Settings = Settings(), do
 
 
 def kept(docs: DataFrame, machine: Machine, settings: Settings = Settings(), text: str = "text", n_chars: str = "n_chars") -> DataFrame:  # noqa: B008
-    """The rows of docs that `score` predicts to be good, with their columns."""
+    """The rows of docs that `score` predicts to be good, with their columns, whatever their names.
+
+    Null and empty texts are judged by their statistics alone, repeated rows each; an empty table gives no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(machine)
     size = F.col(n_chars).cast("bigint") if n_chars in docs.columns else F.lit(None).cast("bigint")
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).cast("string").alias("text"), size.alias("n_chars"))
+    rows = docs.select(whole(docs), F.col(text).cast("string").alias("text"), size.alias("n_chars"))
     least = math.log(settings.threshold / (1 - settings.threshold))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -205,7 +214,7 @@ def kept(docs: DataFrame, machine: Machine, settings: Settings = Settings(), tex
             good = [m.margin(*extract(t or "", n)) >= least for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_()))], ["doc"])
 
-    return whole.mapInArrow(run, T.StructType([whole.schema["doc"]])).select("doc.*")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"]])).select("doc.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008

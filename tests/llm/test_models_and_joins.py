@@ -94,8 +94,54 @@ def test_kept_documents_are_the_predicted_ones(corpus):
     docs, labels = corpus
     machine = quality_fm.learn(docs, labels)
     want = Counter(r["doc_id"] for r in quality_fm.score(docs, machine).where("predicted = 1").collect())
-    out = quality_fm.kept(docs, machine)
-    assert out.columns == docs.columns and Counter(r["doc_id"] for r in out.collect()) == want
+    named = docs.selectExpr("*", "'d' as doc", "'x' as `a.b`", "'r' as rank")
+    out = quality_fm.kept(named, machine)
+    assert out.columns == named.columns and Counter(r["doc_id"] for r in out.collect()) == want
+    assert {(r["doc"], r["a.b"], r["rank"]) for r in out.collect()} == {("d", "x", "r")}
+    assert quality_fm.kept(named.where("false"), machine).count() == 0
+
+
+def test_the_sample_is_the_same_on_every_run_and_bounded(corpus):
+    docs, labels = corpus
+    s = quality_fm.Settings(sample=150, features=4000, epochs=1)
+    a, b = quality_fm.learn(docs, labels, s), quality_fm.learn(docs.repartition(7), labels.repartition(3), s)
+    assert a.bias == b.bias and (a.weight == b.weight).all() and (a.factor == b.factor).all()
+
+
+def test_training_follows_the_gradient_of_the_logistic_loss():
+    """A step on one batch against differences of the loss written as a double sum over pairs of features."""
+    rng = np.random.default_rng(4)
+    rows = [(np.sort(rng.choice(60, 5, replace=False)), rng.normal(size=5).astype(np.float32), float(k % 2)) for k in range(6)]
+    s = quality_fm.Settings(epochs=1, batch=6, decay=0.0, factors=3)
+    before = quality_fm.fit([], s)
+    mean = 0.5
+    before.bias = math.log(mean / (1 - mean))
+    after = quality_fm.fit(rows, s)
+
+    def loss(w, v, bias):
+        total = 0.0
+        for index, value, y in rows:
+            x = bias + sum(w[i] * a for i, a in zip(index, value, strict=True))
+            x += sum(v[i] @ v[j] * a * b for k, (i, a) in enumerate(zip(index, value, strict=True)) for j, b in list(zip(index, value, strict=True))[:k])
+            total += math.log1p(math.exp(-x)) + (1 - y) * x
+        return total / len(rows)
+
+    w, v = before.weight.astype(float), before.factor.astype(float)
+    used = sorted({int(i) for r in rows for i in r[0]})
+    for i in used[:8]:
+        up, down = w.copy(), w.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        g = (loss(up, v, before.bias) - loss(down, v, before.bias)) / 2e-5
+        assert after.weight[i] - before.weight[i] == pytest.approx(-s.rate * g / math.sqrt(1e-4 + g * g), rel=2e-2, abs=1e-5)
+        for f in range(3):
+            up, down = v.copy(), v.copy()
+            up[i, f] += 1e-5
+            down[i, f] -= 1e-5
+            g = (loss(w, up, before.bias) - loss(w, down, before.bias)) / 2e-5
+            assert after.factor[i, f] - before.factor[i, f] == pytest.approx(-0.2 * s.rate * g / math.sqrt(1e-4 + g * g), rel=5e-2, abs=2e-5)
+    unused = np.setdiff1d(np.arange(quality_fm.SIZE), used)
+    assert (after.weight[unused] == 0).all() and (after.factor[unused] == before.factor[unused]).all()
 
 
 def test_pairs_in_linear_time_equal_the_double_sum():

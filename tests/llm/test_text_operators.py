@@ -150,8 +150,43 @@ def test_a_bad_host_loses_its_good_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = {r["doc_id"] for r in host_rules.judge(df).where("kept").collect()}
     assert kept == set(range(100)) | {2002}
-    out = host_rules.kept(df)
-    assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == kept
+    named = df.selectExpr("map('k', 1) as m", "*", "'d' as doc", "'h' as host", "'x' as `a.b`", "'s' as _salt")
+    out = host_rules.kept(named)
+    assert out.columns == named.columns and {r["doc_id"] for r in out.collect()} == kept
+    assert {(r["doc"], r["host"], r["a.b"], r["_salt"]) for r in out.collect()} == {("d", "h", "x", "s")}
+
+
+def layout(spark, df, path):
+    """df in many files, and a function that changes how reads are split."""
+    df.repartition(16).write.parquet(path)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    return spark.read.parquet(path)
+
+
+def test_numbers_do_not_follow_the_splits_of_a_read(spark, tmp_path):
+    r = random.Random(12)
+    rows = [(i, " ".join(f"w{r.randrange(900)}" for _ in range(r.randrange(1, 60))) + f" call me at +1 {i:03d} 555 {i:04d} ok") for i in range(300)]
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.files.openCostInBytes", "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes")}
+    try:
+        df = layout(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "docs"))
+        want_pii = sorted(map(tuple, pii.find(df).collect()))
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "1")
+        packed, found = packing.pack(df, JSON, RANKS, PATTERN, capacity=128), pii.find(df)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "16")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        sequences = defaultdict(list)
+        for x in packed.collect():
+            sequences[x["sequence_id"]].append((x["offset"], x["length"]))
+        assert sorted(map(tuple, found.collect())) == want_pii
+    finally:
+        for k, v in keep.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for items in sequences.values():
+        end = 0
+        for at, n in sorted(items):
+            assert at == end
+            end += n
+        assert end <= 128
 
 
 def luhn(digits):

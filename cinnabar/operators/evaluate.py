@@ -95,12 +95,15 @@ def evaluate_by_rows(bindings: DataFrame, literal: Literal, relations: Relations
     return hits.agg(zero(F.col("m") * pos).alias("bp"), zero(F.col("m") * (1 - pos)).alias("bn"), zero(pos).alias("p"), zero(1 - pos).alias("n"))
 
 
-def collect_counts(bindings: DataFrame, literals: Sequence[Literal], relations: Relations, facts: FactCounts | None = None, at_once: int = 50) -> list[Counts]:
-    """Counts in the literals' order; a job for each `at_once` of them bounds the plan."""
+def collect_counts(bindings: DataFrame, literals: Sequence[Literal], relations: Relations, facts: FactCounts | None = None, at_once: int = 50, timed=lambda what, f, *args: f(*args)) -> list[Counts]:
+    """Counts in the literals' order; a job for each `at_once` of them bounds the plan.  timed(stage, f, ...) calls f."""
     out: list[Counts] = []
     for start in range(0, len(literals), at_once):
         part = literals[start : start + at_once]
-        rows = {r["literal_id"]: r for r in evaluate(bindings, part, relations, facts).collect()}  # a row a literal
+        if facts:
+            timed("facts", lambda part=part: [facts(x) for x in part])
+        counted = timed("plan", evaluate, bindings, part, relations, facts)
+        rows = {r["literal_id"]: r for r in timed("evaluate", counted.collect)}  # a row a literal
         out += [Counts(x, rows[i]["bp"], rows[i]["bn"], rows[i]["p"], rows[i]["n"]) for i, x in enumerate(part)]
     return out
 

@@ -42,6 +42,12 @@ class LearnerConfig:
     memory_quota: int | None = None
 
 
+#: What the timers tell apart: staging the examples; generating candidates; ordering them by the variable they join on;
+#: counting facts by column, once a run; building the jobs; running them (dealing rows out, joining, filtering and
+#: counting are one fused job here); choosing; the bridge test; building binding tables; the test of a finished rule.
+STAGES = ("load", "enumerate", "group", "facts", "plan", "evaluate", "select", "bridge", "extend", "test")
+
+
 def uncovered_target(positives: int, threshold: float) -> int:
     """Positives that may stay uncovered."""
     return int(positives * (1 - threshold))
@@ -76,6 +82,7 @@ class Learned:
     clauses: list[Clause]
     seconds: float
     uncovered: int
+    #: Seconds by stage, see STAGES.
     timers: dict[str, float] = field(default_factory=dict)
 
     def rules_df(self, spark) -> DataFrame:
@@ -89,7 +96,7 @@ class Learner:
         self.config, self.target, self.relations = config, target, relations
         self.background = list(background)
         self.facts = FactCounts(relations)
-        self.timers: dict[str, float] = {}
+        self.timers: dict[str, float] = dict.fromkeys(STAGES, 0.0)
         self.examples = self.timed("load", stage, examples, "examples")
         positives, self.num_negative = label_counts(self.examples)
         if not self.num_negative:
@@ -107,7 +114,7 @@ class Learner:
         try:
             return f(*args)
         finally:
-            self.timers[what] = self.timers.get(what, 0.0) + time.monotonic() - began
+            self.timers[what] += time.monotonic() - began
 
     # the search
 
@@ -141,15 +148,13 @@ class Learner:
         """One literal: (go on with this rule?, its next state)."""
         c = self.config
         search, left = self.timed("enumerate", enumerate_candidates, state.clause, self.background, state.stats)
-        literals = sorted((x for p in left for x in left[p]), key=lambda x: (x.terms[x.join_key], self.background.index(x.predicate)))
-        counts = self.timed("evaluate", collect_counts, state.bindings, literals, self.relations, self.facts)
+        literals = self.timed("group", lambda: sorted((x for p in left for x in left[p]), key=lambda x: (x.terms[x.join_key], self.background.index(x.predicate))))
+        counts = collect_counts(state.bindings, literals, self.relations, self.facts, timed=self.timed)
         bridges = sum(state.clause.random) < c.maximum_random_literals and len(state.blacklist) < c.maximum_random_trials and state.P // max(state.num_uncovered, 1) < 50
         selector = Selector(state.clause, state.P, state.N, state.num_uncovered, state.blacklist, c.num_saved_literals, c.random_margin, bridges)
-        for x in counts:
-            if x.p == 0:
-                search.dead.add(x.literal)
-            selector.insert(x)
-        found, random = selector.best(lambda r, s: self.choose_bridge(state, selector, r, s))
+        search.dead.update(x.literal for x in counts if x.p == 0)
+        self.timed("select", lambda: [selector.insert(x) for x in counts])
+        found, random = selector.best(lambda r, s: self.timed("bridge", self.choose_bridge, state, selector, r, s))
         if not found:
             return self.give_up(state)
         best = found.pop()

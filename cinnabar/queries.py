@@ -304,8 +304,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _counts_sql() -> str:
-    """One branch a candidate, from the exploded join."""
+def _scores_sql(rows: str, at: int | str = "") -> str:
+    """Counts and scores of the candidates over a table of bindings, as tables whose names end in `at`; a branch of the
+    counts is a candidate, from the exploded join."""
     sources = {
         "placed": "SELECT o_orderkey AS c0, o_custkey AS c1 FROM orders",
         "line": "SELECT l_orderkey AS c0, l_partkey AS c1, l_suppkey AS c2 FROM lineitem",
@@ -318,9 +319,11 @@ def _counts_sql() -> str:
         on = " AND ".join(f"h.v{x.terms[i]} = f.c{i}" for i in x.bound)
         parts.append(
             f"SELECT '{x}' AS literal, count(*) FILTER (label) AS bp, count(*) FILTER (NOT label) AS bn, "
-            f"count(DISTINCT rid) FILTER (label) AS p, count(DISTINCT rid) FILTER (NOT label) AS n FROM h JOIN ({sources[x.predicate.name]}) f ON {on}"
+            f"count(DISTINCT rid) FILTER (label) AS p, count(DISTINCT rid) FILTER (NOT label) AS n FROM h{at} h JOIN ({sources[x.predicate.name]}) f ON {on}"
         )
-    return f"{_HOT}, h AS (SELECT *, row_number() OVER () AS rid FROM hot), counts AS ({' UNION ALL '.join(parts)})"
+    return f"""h{at} AS (SELECT *, row_number() OVER () AS rid FROM {rows}), counts{at} AS ({' UNION ALL '.join(parts)}), total{at} AS (SELECT count(*) FILTER (label) AS P_, count(*) FILTER (NOT label) AS N_ FROM {rows}),
+ parts{at} AS (SELECT literal, bp, bn, p, n, {_MCC} AS mcc, ({_area_sql('bp', 'bn')}) - ({_area_sql('P_', 'N_')}) AS auec FROM counts{at}, total{at}),
+ scores{at} AS (SELECT *, CASE WHEN 1 + mcc <> 0 AND 1 + auec <> 0 THEN 5 * (1 + auec) * (1 + mcc) / ((1 + mcc) + 4 * (1 + auec)) END AS score FROM parts{at})"""
 
 
 _MCC = "CASE WHEN p = 0 THEN -1.0 WHEN p = P_ AND n = N_ THEN 0.0 WHEN (p + n) * (P_ + N_ - p - n) > 0 THEN (p * (N_ - n) - n * (P_ - p)) / sqrt((p + n)::DOUBLE * (P_ + N_ - p - n) * N_ * P_) END"
@@ -331,9 +334,7 @@ def _area_sql(x: str, y: str) -> str:
     return f"CASE WHEN {x} = 0 THEN 0.0 WHEN {y} = 0 THEN 1.0 ELSE ((1 - {r}) * (1 - {r}) * log2(1 - {r}) - {r} * {r} * log2({r})) * ln(2) + {r} END"
 
 
-_SCORES = f"""{_counts_sql()}, total AS (SELECT count(*) FILTER (label) AS P_, count(*) FILTER (NOT label) AS N_ FROM hot),
- parts AS (SELECT literal, bp, bn, p, n, {_MCC} AS mcc, ({_area_sql('bp', 'bn')}) - ({_area_sql('P_', 'N_')}) AS auec FROM counts, total),
- scores AS (SELECT *, CASE WHEN 1 + mcc <> 0 AND 1 + auec <> 0 THEN 5 * (1 + auec) * (1 + mcc) / ((1 + mcc) + 4 * (1 + auec)) END AS score FROM parts)"""
+_SCORES = f"{_HOT}, {_scores_sql('hot')}"
 
 
 @query(f"WITH {_SCORES} SELECT literal, bp, bn, p, n, round(score, 6) AS score FROM scores")
@@ -425,14 +426,26 @@ def radix_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the search
 
 
-@query(None)
+def _learned_sql() -> str:
+    """The two literals that a greedy search takes: the best of all rows, then the best of those that it leaves."""
+    unary = "(CASE (SELECT literal FROM best) WHEN 'urgent(0)' THEN v0 IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') WHEN 'building(1)' THEN v1 IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') END)"
+    chosen = lambda k: f"(SELECT literal FROM scores{k} WHERE score IS NOT NULL ORDER BY score DESC, literal LIMIT 1)"
+    return f"{_SCORES}, best AS {chosen('')}, left_over AS (SELECT * FROM hot WHERE {unary}), {_scores_sql('left_over', 2)}, next AS {chosen(2)}"
+
+
+@query(f"WITH {_learned_sql()} SELECT 0 AS rule, 'hot_order(0, 1) :-  ' || (SELECT literal FROM best) || ', ' || (SELECT literal FROM next) AS clause, 2 AS literals")
 def learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules that the learner finds for hot_order."""
     r = relations(spark, sf_dir)
     return Learner(hot_orders(spark, sf_dir), HOT_ORDER, BACKGROUND, r).learn().rules_df(spark)
 
 
-@query(None)
+@query(
+    f"""WITH {_HOT}, marked AS (SELECT label, v0 IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') AND v1 IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AS covered FROM hot),
+ c AS (SELECT count(*) FILTER (label) AS positives, count(*) FILTER (NOT label) AS negatives, count(*) FILTER (label AND covered) AS covered_positives, count(*) FILTER (NOT label AND covered) AS covered_negatives FROM marked),
+ r AS (SELECT *, covered_positives / (covered_positives + covered_negatives)::DOUBLE AS precision, covered_positives / positives::DOUBLE AS recall FROM c)
+SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM r"""
+)
 def learned_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage, precision and recall of the learned rules."""
     r, rows = relations(spark, sf_dir), hot_orders(spark, sf_dir)

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -46,7 +47,7 @@ class Settings:
     factors: int = 16
     rounds: int = 1
     shard: int = 4_000_000  # tokens of a shard, about
-    buffer: int = 1 << 20  # tokens that are shuffled among each other
+    buffer: int = 1 << 20  # tokens, at least, that are shuffled among each other
     steps: int = 1000  # batches of a shard at least: a small one is passed over more than once
     batch: int = 2048
     class_noise: int = 16  # drawn for a batch
@@ -58,9 +59,14 @@ class Settings:
     seed: int = 3
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words and the end."""
-    return [*(text or "").encode().lower().split(), END]
+def split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The lower-cased (A-Z) words of texts one after the other, and the text of each; the ends are not there."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, whose = parts.flatten().cast(pa.binary()), pc.list_parent_indices(parts).to_numpy()
+    full = pc.binary_length(flat).to_numpy() > 0  # white space at an end leaves an empty word
+    if not full.all():
+        flat, whose = flat.filter(pa.array(full)), whose[full]
+    return flat.dictionary_encode(), whose
 
 
 def short(word: bytes) -> bytes:
@@ -79,20 +85,27 @@ def count_words(texts: DataFrame, s: Settings) -> DataFrame:
     bounded table at a time."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        seen: dict[bytes, list[int]] = {}
 
         def out():
-            both = list(seen[0].keys() | seen[1].keys())
-            c = [seen[1][w] for w in both]
-            return pa.RecordBatch.from_arrays([pa.array(list(map(short, both)), pa.binary()), pa.array(c, pa.int64()), pa.array([seen[0][w] + k for w, k in zip(both, c, strict=True)], pa.int64())], ["word", "c", "n"])
-
-        for batch in slices(batches):
-            for t, train in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[train].update(words(t))
-            if len(seen[0]) + len(seen[1]) > 200_000:
+            c, n = ([x[k] for x in seen.values()] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(list(map(short, seen)), pa.binary()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["word", "c", "n"])
+
+        for batch in slices(batches, 4000):
+            train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            found, whose = split(batch.column(0))
+            at, size = found.indices.to_numpy(), len(found.dictionary)
+            every, learned = np.bincount(at, minlength=size), np.bincount(at[train[whose]], minlength=size)
+            for w, c, n in [*zip(found.dictionary.to_pylist(), learned.tolist(), every.tolist(), strict=True), (END, int(train.sum()), len(train))]:
+                if w in seen:
+                    had = seen[w]
+                    had[0] += c
+                    had[1] += n
+                else:
+                    seen[w] = [c, n]
+            if len(seen) > 400_000:
                 yield out()
-                seen[0].clear()
-                seen[1].clear()
+                seen.clear()
         yield out()
 
     return stage(texts.mapInArrow(run, "word binary, c bigint, n bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
@@ -183,6 +196,9 @@ class _Numbers(dict):
         super().__init__(known)
         self.known, self.s = known, s
 
+    def of(self, words: pa.Array) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words.to_pylist()), np.int64, len(words))
+
     def __missing__(self, word: bytes) -> int:
         if len(self) > len(self.known) + 200_000:
             self.clear()
@@ -192,14 +208,18 @@ class _Numbers(dict):
         return at
 
 
-def contexts(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' symbols in a row, each text after two ends, and the places of their tokens."""
-    gap = np.full(2, end, np.int32)
-    row = np.concatenate([x for t in texts for x in (gap, t)] or [gap])
-    first = np.ones(len(row), bool)
-    start = np.cumsum([0, *(len(t) + 2 for t in texts)])[:-1]
-    first[start] = first[start + 1] = False
-    return row, np.flatnonzero(first) if texts else np.empty(0, np.int64)
+def contexts(symbol: np.ndarray, whose: np.ndarray, texts: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' symbols in a row, each text after two ends and before its own, and the places of their tokens.
+
+    symbol: of the words of all texts, whose: the text of each.
+    """
+    length = np.bincount(whose, minlength=texts)
+    row = np.full(len(symbol) + 3 * texts, end, np.int32)
+    row[np.arange(len(symbol)) + 3 * whose + 2] = symbol
+    token = np.ones(len(row), bool)
+    first = np.cumsum(length + 3) - length - 3
+    token[first] = token[first + 1] = False
+    return row, np.flatnonzero(token)
 
 
 # the model
@@ -282,11 +302,12 @@ class Trainer:
 
     def update(self, part: int, rows, grad: np.ndarray) -> None:
         x, q = self.m.parts()[part], self.sums[part]
-        q[rows] += np.square(grad)
-        x[rows] -= self.s.rate * grad / np.sqrt(q[rows])
+        sums = q[rows] + np.square(grad)
+        q[rows] = sums
+        x[rows] -= self.s.rate * grad / np.sqrt(sums)
 
     def scatter(self, rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows)
         rows = rows[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         return rows[first], np.add.reduceat(grad[order], first)
@@ -377,26 +398,30 @@ def train(texts: DataFrame, y: Symbols, tokens: int, s: Settings) -> Model:
             task = TaskContext.get().partitionId()
             numbers, end = _Numbers(y.number, s), int(y.symbol[y.number[END]])
             trainer = Trainer(model, y, s, 1_000_003 * turn + task)
-            held: list[np.ndarray] = []
-            many, last = 0, None
-            for batch in slices(batches):
-                for t in batch.column(0).to_pylist():
-                    held.append(y.symbol[np.fromiter(map(numbers.__getitem__, words(t)), np.int64)])
-                    many += len(held[-1])
-                    if many >= s.buffer:
-                        last = contexts(held, end)
-                        trainer.learn(*last)
-                        held, many = [], 0
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            last = None
+
+            def learn() -> tuple[np.ndarray, np.ndarray]:
+                start = np.cumsum([0, *(len(row) for row, _ in held)])
+                both = np.concatenate([row for row, _ in held]), np.concatenate([at + k for (_, at), k in zip(held, start, strict=False)])
+                trainer.learn(*both)
+                held.clear()
+                return both
+
+            for batch in slices(batches, 2000):
+                found, whose = split(batch.column(0))
+                held.append(contexts(y.symbol[numbers.of(found.dictionary)][found.indices.to_numpy()], whose, batch.num_rows, end))
+                if sum(len(at) for _, at in held) >= s.buffer:
+                    last = learn()
             if held:
-                last = contexts(held, end)
-                trainer.learn(*last)
+                last = learn()
             while last is not None and trainer.steps < s.steps:
                 trainer.learn(*last)
             if last is not None:
                 for b, w, p in _pack(trainer.m, trainer.met, y, s):
                     yield _rows([(b, task % lanes, w, p * w[:, None])])
 
-        each = texts.select("text").coalesce(shards).mapInArrow(run, _ROWS)
+        each = texts.coalesce(shards).mapInArrow(run, _ROWS)
         few = each.repartition("block", "lane").mapInArrow(_sums, _ROWS)
         got = few.repartition("block").mapInArrow(_sums, _ROWS).collect()  # a row a block
         model = _merge(got, model, s)
@@ -429,7 +454,7 @@ def _merge(rows: list, before: Model, s: Settings) -> Model:
 def fit(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> tuple[Model, Symbols, DataFrame, int, int, int]:  # noqa: B008
     """Model, symbols, counts of words (staged), least n of a frequent word, training tokens and distinct ones."""
     s = settings
-    rows = docs.select(F.col(text).cast("string").alias("text"), (~_held(doc_id, s)).alias("train"))
+    rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (~_held(doc_id, s)).alias("train"))
     counts = count_words(rows, s)
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     frequent, limit = frequent_words(counts, s.frequent)
@@ -461,25 +486,29 @@ def score(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_i
         logs = np.log10(y.count + 1.0)
         extra = np.where(y.own, 0.0, logs - y.log_mass)  # a word's part of its ending's symbol, but for rare words' counts
         known = y.count > 0
-        for batch in slices(batches, 250):
-            rows, at, rare = batch.column(1).to_pylist(), [], []
-            for t in rows:
-                tokens = words(t)
-                got = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-                at.append(got)
-                odd = np.flatnonzero(got < 0)
-                rare.append([{"word": w, "n": c} for w, c in Counter(short(tokens[i]) for i in odd).items()])
-            every, begin = np.concatenate(at), np.cumsum([0, *map(len, at)])[:-1]
-            row, place = contexts([y.symbol[x] for x in at], end)
-            found = np.empty(len(place))
+        for batch in slices(batches, 1000):
+            many = batch.num_rows
+            found, whose = split(batch.column(1))
+            number, code = numbers.of(found.dictionary), found.indices.to_numpy()
+            row, place = contexts(y.symbol[number][code], whose, many, end)
+            of_token = np.full(len(place), y.number[END], np.int64)
+            of_token[np.arange(len(code)) + whose] = number[code]  # each text has one token more than words
+            log = np.empty(len(place))
             for k in range(0, len(place), s.tile):
                 some = place[k : k + s.tile]
-                found[k : k + s.tile] = model.log_prob(row[some - 1], row[some - 2], row[some], y.cut, class_of)
-            sums = [np.add.reduceat(x, begin) for x in (known[every].astype(np.int64), logs[every], found + extra[every])]
-            cols = [pa.array(list(map(len, at)), pa.int64()), *map(pa.array, sums), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))]
+                log[k : k + s.tile] = model.log_prob(row[some - 1], row[some - 2], row[some], y.cut, class_of)
+            length = np.bincount(whose, minlength=many) + 1
+            begin = np.cumsum(length) - length
+            sums = [np.add.reduceat(x, begin) for x in (known[of_token].astype(np.int64), logs[of_token], log + extra[of_token])]
+            odd = np.flatnonzero(number[code] < 0)
+            pair, times = np.unique(whose[odd] * len(number) + code[odd], return_counts=True)
+            offsets = np.searchsorted(pair, np.arange(many + 1) * len(number)).astype(np.int32)
+            names = pa.array([short(w) for w in found.dictionary.take(pa.array(pair % len(number) if len(pair) else pair)).to_pylist()], pa.binary())
+            rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([names, pa.array(times.astype(np.int64))], ["word", "n"]))
+            cols = [pa.array(length.astype(np.int64)), *map(pa.array, sums), rare]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_tokens", "n_frequent", "logs", "model", "rare"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     schema = f"doc_id {kind}, n_tokens bigint, n_frequent bigint, logs double, model double, rare array<struct<word: binary, n: bigint>>"
     # numbered in the table: made anew on each read, numbers would follow the splits of that read
     scored = stage(rows.mapInArrow(run, schema).withColumn("_id", F.monotonically_increasing_id()), "scored")

@@ -176,6 +176,17 @@ def scored(spark):
     return rows, lbl.score(df, s).collect(), s, df
 
 
+def words_(t):
+    return [w.encode() for w in words(t)]
+
+
+def test_words_are_split_at_the_six_spaces_only():
+    texts = ["", " \t\n", "A b\x0bC\x0cd\re", " x\xa0y\u2003z\x85w\x1cv\x1f ÉÀ İ ", "one", "\x00 b  c ", "Tail "]
+    found, whose = lbl.split(pa.array(texts))
+    got = [found.dictionary[i].as_py() for i in found.indices.to_pylist()]
+    assert [[w for w, k in zip(got, whose, strict=True) if k == i] for i in range(len(texts))] == [words_(t) for t in texts]
+
+
 def test_base_scores(scored):
     rows, got, *_ = scored
     train = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
@@ -198,7 +209,7 @@ def test_the_model_beats_the_base_on_held_out_documents(scored):
 def test_the_score_is_the_sum_of_normalised_token_probabilities(scored):
     rows, got, s, df = scored
     m, y, *_ = lbl.fit(df, s)
-    train = Counter(x for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for x in lbl.words(t))
+    train = Counter(x for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for x in [*words_(t), lbl.END])
     own = {w for w, k in y.number.items() if y.own[k]}
     assert len(own) > 20 and all(train[w] >= s.least_count or w == lbl.END for w in map(bytes, own) if len(w) <= 16)
     by_ending = {}  # the symbol of each ending
@@ -225,7 +236,7 @@ def test_the_score_is_the_sum_of_normalised_token_probabilities(scored):
     assert sum(probability(end, 3, k) for k in range(n)) == pytest.approx(1)
     for r, (_, t) in ((r, x) for r in got for x in dict.fromkeys(rows[::7] + rows[-14:]) if x[0] == r["doc_id"]):
         total, before = 0.0, [end, end]
-        for x in lbl.words(t):
+        for x in [*words_(t), lbl.END]:
             w = lbl.short(x)
             total += math.log10(probability(before[1], before[0], symbol(w)))
             if w not in own:
@@ -242,13 +253,12 @@ def _symbols(size, cut):
 def test_every_token_trains_and_is_counted():
     s = lbl.Settings(batch=16, steps=1)
     y = _symbols([50, 40, 3, 2, 1], [0, 1, 2, 5])
-    texts = [np.array([0, 1, 1, 2, 0]), np.array([4]), np.array([], int), np.array([1, 3, 0])]
-    row, at = lbl.contexts(texts, 0)
-    assert row[at].tolist() == [0, 1, 1, 2, 0, 4, 1, 3, 0] and row[at - 1].tolist() == [0, 0, 1, 1, 2, 0, 0, 1, 3] and row[at - 2].tolist() == [0, 0, 0, 1, 1, 0, 0, 0, 1]
+    row, at = lbl.contexts(np.array([2, 1, 1, 4, 1, 3]), np.array([0, 0, 0, 1, 3, 3]), 4, 0)
+    assert row[at].tolist() == [2, 1, 1, 0, 4, 0, 0, 1, 3, 0] and row[at - 1].tolist() == [0, 2, 1, 1, 0, 4, 0, 0, 1, 3] and row[at - 2].tolist() == [0, 0, 2, 1, 0, 0, 0, 0, 0, 1]
     trainer = lbl.Trainer(lbl.start(y, s), y, s, 1)
     trainer.learn(row, at)
     trainer.learn(row, at)
-    assert trainer.met.tolist() == [6, 6, 2, 2, 2]
+    assert trainer.met.tolist() == [8, 6, 2, 2, 2]
     before = lbl.start(y, s)
     assert (trainer.m.target[2:] != before.target[2:]).any(1).all() and (trainer.m.context[:4] != before.context[:4]).any(1).all()
     assert (trainer.m.target[:2] == before.target[:2]).all()  # alone in their classes

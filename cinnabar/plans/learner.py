@@ -130,7 +130,7 @@ class Learner:
                 break
             state = self.resume()
             if state is None:
-                if self.stuck:
+                if self.stuck or self.num_uncovered <= self.most_uncovered:  # a tie may have covered the rest
                     break
                 state = self.fresh()
         return Learned(list(self.clauses), time.monotonic() - began, self.num_uncovered, dict(self.timers))

@@ -24,13 +24,21 @@ class Relation:
 
     @staticmethod
     def of(predicate: Predicate, df: DataFrame, columns: Sequence[str] | None = None) -> Relation:
-        """The relation of a DataFrame's columns, in order, as bigint c0, c1, ...; rows with a null are refused facts
-        and dropped, since nulls join with nothing."""
+        """The relation of a DataFrame's columns, in order, as c0, c1, ...: whole numbers as bigint, strings and doubles
+        as they are, all else is refused.  Rows with a null are no facts and are left out, since nulls join with nothing."""
         names = list(columns or df.columns)
         if len(names) != predicate.arity:
             raise ValueError(f"{predicate.name} has {predicate.arity} columns, not {len(names)}")
-        cast = df.select(*(F.col(f"`{c}`").cast("bigint").alias(f"c{i}") for i, c in enumerate(names)))
-        return Relation(predicate, cast.dropna())
+        return Relation(predicate, df.select(*(_value(df, c).alias(f"c{i}") for i, c in enumerate(names))).dropna())
+
+
+def _value(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType.simpleString()
+    if kind in ("string", "double"):
+        return F.col(f"`{name}`")
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{name} is {kind}; facts hold whole numbers, strings and doubles")
+    return F.col(f"`{name}`").cast("bigint")
 
 
 Relations = Mapping[Predicate, Relation]
@@ -39,7 +47,7 @@ Relations = Mapping[Predicate, Relation]
 def examples(df: DataFrame, arity: int) -> DataFrame:
     """Labelled examples as the binding table of the most general clause; df has the head's columns, then label."""
     cols = df.columns
-    cast = (F.col(f"`{c}`").cast("bigint").alias(f"v{i}") for i, c in enumerate(cols[:arity]))
+    cast = (_value(df, c).alias(f"v{i}") for i, c in enumerate(cols[:arity]))
     return df.select(*cast, F.col(f"`{cols[arity]}`").cast("boolean").alias(LABEL)).dropna()
 
 

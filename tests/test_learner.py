@@ -72,6 +72,27 @@ def test_bad_lines_fail_even_a_count(spark, tmp_path, line):
         scan_text(spark, str(tmp_path / "f"), (0, 0)).collect()
 
 
+def test_columns_of_other_types(spark, tmp_path):
+    text = """{"target": "t", "background": ["r"], "relations": [
+      {"name": "t", "file": "t", "num_positive": 1, "attributes": [{"domain_type": 0, "type": "string"}]},
+      {"name": "r", "file": "r", "attributes": [{"domain_type": 0, "type": "string"}, {"domain_type": 1, "type": "double"}, {"domain_type": 2, "type": "long"}]}]}"""
+    (tmp_path / "t").write_text("a x\nb\n")
+    (tmp_path / "r").write_text("a x| 2.5 |9000000000\nb|1e3|-4\n")
+    found = Catalog.parse(text, str(tmp_path))
+    r = found.relations(spark)[found.predicates()["r"]]
+    assert sorted(map(tuple, r.df.collect())) == [("a x", 2.5, 9000000000), ("b", 1000.0, -4)]
+    rows = found.examples(spark)
+    wide = b.extend(rows, parse_literal("r(0, -1, -1)", found.predicates()), {r.predicate: r})
+    assert sorted(map(tuple, wide.select("v0", "label", "v1", "v2").collect())) == [("a x", True, 2.5, 9000000000), ("b", False, 1000.0, -4)]
+    (tmp_path / "r").write_text("a|x|1\n")
+    with pytest.raises(Exception):  # noqa: B017
+        r.df.collect()
+    with pytest.raises(ValueError):
+        Catalog.parse(text.replace('"long"', '"date"'), str(tmp_path))
+    with pytest.raises(ValueError):
+        b.Relation.of(Predicate(0, "z", (0,)), spark.sql("select current_date() as d"))
+
+
 def test_a_wrong_arity_fails_a_count(spark, tmp_path):
     (tmp_path / "f").write_text("1|2\n1|2|3\n")
     with pytest.raises(Exception):  # noqa: B017
@@ -221,7 +242,7 @@ def pictures():
     """The catalog whose relations are all there and whose target has one column."""
     for path in sorted(glob.glob(f"{SAMPLES}/**/*.json", recursive=True)):
         try:
-            found = Catalog.load(path)
+            found = Catalog.load(path, f"{SAMPLES}/run")
         except (ValueError, KeyError):
             continue
         if len(found.target.types) == 1 and found.test_file and all(os.path.isfile(e.file) for e in (*found.background, found.target)):

@@ -630,6 +630,40 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == set(after)
 
 
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    r = random.Random(13)
+    text = lambda: " ".join(f"w{r.randrange(400)}" for _ in range(40))
+    long = " ".join(f"w{i * i % 399991}" for i in range(60_000))
+    same = text()
+    rows = [(i, text(), "en", f"s{i % 3}") for i in range(60)]
+    rows += [(60, None, None, None), (61, "", "en", "s1"), (None, text(), "en", "s0"), (None, same, None, None), (62, long, "de", "s2"), (7, rows[7][1], "en", "s1"), (7, rows[7][1], "en", "s1"), (63, same, "en", "s0"), (64, same + " token = abcdef9876", "en", "s0")]
+    schema = "doc_id long, text string, lang string, source string"
+    extra = ["_id", "_sha", "_spans", "_new", "_salt", "doc", "host", "rank", "a.b"]
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "cast(length(text) as bigint) as n_chars", *(f"'{c}!' as `{c}`" for c in extra))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    for name, df in (("documents", docs), ("labels", labels)):
+        df.write.parquet(str(tmp_path / "some" / f"{name}.parquet"))
+        df.where("false").write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    at = spark.read.parquet(str(tmp_path / "some" / "documents.parquet"))
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        before = at
+        at = f(spark, at, str(tmp_path / "some"))
+        assert at.columns == docs.columns
+        at = minhash.stage(at, "pipeline-test")
+        got = at.collect()
+        assert all(x[c] == f"{c}!" for x in got for c in extra), name
+        ids = Counter(x["doc_id"] for x in got)
+        if name == "quality rules":
+            assert not {60, 61} & set(ids) and ids[7] == 3 and ids[None] == 2 and ids[62] == 1
+        elif name == "near duplicates":
+            assert ids[7] == 1 and ids[None] == 2 and ids[63] == 1 and not ids[64]
+        else:
+            assert len(got) == before.count()
+    pieces = corpus_pipeline.STAGES[-1][1](spark, at, "").groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert {x["doc_id"] for x in pieces} == set(ids)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_the_entry_registers_every_operator():
     import __spark_entry__ as entry
 

@@ -81,32 +81,22 @@ def ending(word: bytes, s: Settings) -> int:
 
 
 def count_words(texts: DataFrame, s: Settings) -> DataFrame:
-    """word, c (in training), n (in all texts), staged.  texts: text, train.  Partitions count first and hand over a
-    bounded table at a time."""
+    """word, c (in training), n (in all texts), staged.  texts: text, train.  A batch of texts is counted before its words
+    are handed over."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
-
-        def out():
-            c, n = ([x[k] for x in seen.values()] for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(list(map(short, seen)), pa.binary()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["word", "c", "n"])
-
-        for batch in slices(batches, 4000):
+        learned, texts = 0, 0
+        for batch in batches:
             train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            learned, texts = learned + int(train.sum()), texts + len(train)
             found, whose = split(batch.column(0))
-            at, size = found.indices.to_numpy(), len(found.dictionary)
-            every, learned = np.bincount(at, minlength=size), np.bincount(at[train[whose]], minlength=size)
-            for w, c, n in [*zip(found.dictionary.to_pylist(), learned.tolist(), every.tolist(), strict=True), (END, int(train.sum()), len(train))]:
-                if w in seen:
-                    had = seen[w]
-                    had[0] += c
-                    had[1] += n
-                else:
-                    seen[w] = [c, n]
-            if len(seen) > 400_000:
-                yield out()
-                seen.clear()
-        yield out()
+            at, word = found.indices.to_numpy(), found.dictionary
+            if len(word) and pc.max(pc.binary_length(word)).as_py() > LONG:
+                word = pa.array(list(map(short, word.to_pylist())), pa.binary())
+            c, n = np.bincount(at[train[whose]], minlength=len(word)), np.bincount(at, minlength=len(word))
+            yield pa.RecordBatch.from_arrays([word, pa.array(c.astype(np.int64)), pa.array(n.astype(np.int64))], ["word", "c", "n"])
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([learned], pa.int64()), pa.array([texts], pa.int64())], ["word", "c", "n"])
 
     return stage(texts.mapInArrow(run, "word binary, c bigint, n bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
 
@@ -245,22 +235,37 @@ class Model:
 
     def log_prob(self, near: np.ndarray, far: np.ndarray, w: np.ndarray, cut: np.ndarray, class_of: np.ndarray) -> np.ndarray:
         """log10 p(w | near, far), normalised over all symbols."""
-        h, at = self.hidden(near, far), class_of[w]
-        out = np.concatenate([_log_softmax(h[k : k + 1024] @ self.classes.T + self.class_bias, at[k : k + 1024]) for k in range(0, max(len(w), 1), 1024)])
+        one = np.float32(1)
+        groups, each = np.c_[self.classes, self.class_bias].T.copy(), np.c_[self.target, self.bias]
+        # by class, so that a class's words are one product
+        at = class_of[w]
         order = np.argsort(at, kind="stable")
-        found, begin = np.unique(at[order], return_index=True)
+        at, w = at[order], w[order]
+        h = np.empty((len(w), self.mix.shape[1] + 1), np.float32)
+        h[:, :-1], h[:, -1] = self.hidden(near[order], far[order]), one
+        out = np.empty(len(w))
+        for k in range(0, len(w), 1024):
+            out[k : k + 1024] = _log_softmax(h[k : k + 1024] @ groups, at[k : k + 1024])
+        found, begin = np.unique(at, return_index=True)
         for k, a, b in zip(found, begin, [*begin[1:], len(at)], strict=True):
             lo, hi = cut[k], cut[k + 1]
+            words = each[lo:hi].T
             for e in range(a, b if hi - lo > 1 else a, 1024):
-                some = order[e : min(e + 1024, b)]
-                out[some] += _log_softmax(h[some] @ self.target[lo:hi].T + self.bias[lo:hi], w[some] - lo)
-        return out / math.log(10)
+                stop = min(e + 1024, b)
+                out[e:stop] += _log_softmax(h[e:stop] @ words, w[e:stop] - lo)
+        back = np.empty(len(w))
+        back[order] = out
+        return back / math.log(10)
 
 
 def _log_softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
     own = x[np.arange(len(x)), at].astype(np.float64)
-    return own - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
+    if x.max(initial=0) < 60:  # no sum overflows; none underflows either, or the rows are shifted after all
+        total = np.exp(x) @ np.ones(x.shape[1], x.dtype)
+        if total.min(initial=1) > 1e-20:
+            return own - np.log(total.astype(np.float64))
+    most = x.max(1, keepdims=True)
+    return own - most[:, 0] - np.log(np.exp(x - most).sum(1, dtype=np.float64))
 
 
 def start(y: Symbols, s: Settings) -> Model:
@@ -320,7 +325,7 @@ class Trainer:
         one = lambda x: (1 / (1 + np.exp(-x))).astype(np.float32)
         # the class against noise classes
         own = self.class_of[w]
-        k = rng.choice(len(self.group), s.class_noise, p=self.group)
+        k = rng.choice(len(self.group), s.class_noise, p=self.group).astype(np.int32)
         pos = (one((h * m.classes[own]).sum(1) + m.class_bias[own] - self.log_group[own]) - 1)
         neg = one(h @ m.classes[k].T + (m.class_bias[k] - self.log_group[k]))
         dh = pos[:, None] * m.classes[own] + neg @ m.classes[k]
@@ -328,7 +333,7 @@ class Trainer:
         # the word against noise words of its class
         lo, hi = self.total[self.y.cut[own]], self.total[self.y.cut[own + 1]]
         drawn = np.searchsorted(self.total, lo[:, None] + rng.random((n, s.word_noise)) * (hi - lo)[:, None], "right") - 1
-        drawn = np.clip(drawn, self.y.cut[own][:, None], self.y.cut[own + 1][:, None] - 1)
+        drawn = np.clip(drawn, self.y.cut[own][:, None], self.y.cut[own + 1][:, None] - 1).astype(np.int32)
         every = np.concatenate([w[:, None], drawn], 1)
         q = m.target[every]
         e = one(np.einsum("bd,bjd->bj", h, q) + m.bias[every] - self.log_word[every])

@@ -264,6 +264,14 @@ def test_every_token_trains_and_is_counted():
     assert (trainer.m.target[:2] == before.target[:2]).all()  # alone in their classes
 
 
+def test_probabilities_of_extreme_scores_are_normalised():
+    x = np.array([[100, 99, 0], [-90, -91, -92], [0, 1, 2], [80, -80, 0]], np.float32)
+    for rows in (x, x[1:3], x[2:3]):
+        every = np.stack([lbl._log_softmax(rows.copy(), np.full(len(rows), k)) for k in range(3)], 1)
+        want = rows - rows.max(1, keepdims=True).astype(float)
+        assert np.allclose(every, want - np.log(np.exp(want).sum(1, keepdims=True)), atol=1e-5)
+
+
 def test_a_symbol_is_averaged_over_the_shards_that_met_it():
     s = lbl.Settings(block=2, factors=3)
     y = _symbols([9, 8, 7, 6, 5], [0, 2, 5])

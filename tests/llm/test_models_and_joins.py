@@ -1,5 +1,6 @@
 """Classifier, language model, near-duplicates, embeddings, pages and the pipeline, with brute-force versions."""
 
+import json
 import math
 import random
 import re
@@ -486,6 +487,23 @@ def test_deep_pages_take_the_same_path(spark):
     assert {r["page_id"]: r["text"] for r in html_wrapper.extract(df).collect()} == {i: f"main text {i}\nmore{i}" for i in range(3)}
 
 
+def test_all_pages_make_the_wrapper(spark):
+    rows = [(f"h{i % 3}.example", f"<body><div class=k{'abcdefghijklmnopqrstuvwxyz'[i % 26]}><p>Text {i}</div>{'<ul><li>x</ul>' * (i % 2)}") for i in range(130)]
+    df = spark.createDataFrame(rows, "host string, html string")
+    got = {r["host"]: json.loads(r["wrapper"]) for r in html_wrapper.wrappers(df, html_wrapper.Settings()).collect()}
+    again = html_wrapper.wrappers(df.repartition(7, "html"), html_wrapper.Settings()).collect()
+    assert {r["host"]: json.loads(r["wrapper"]) for r in again} == got and len(again) == 3
+    for host, source in rows:
+        slots = html_wrapper.align(html_wrapper.page(source)[0], html_wrapper.unpack(got[host]), False)
+        assert all(x.key is not None for x in slots)
+
+
+def test_hidden_on_one_page_only(spark):
+    rows = [(i, "http://h.example/", f"<body><div{' hidden' * (i % 5 == 2)}><p>Text {i}</div><div class=y><p>More {i}</div>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"More {i}" if i % 5 == 2 else f"Text {i}\nMore {i}" for i in range(20)}
+
+
 def texts_of(source):
     return [b[2] for b in html_wrapper.page(source)[1]]
 

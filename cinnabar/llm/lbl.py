@@ -285,15 +285,25 @@ def _shares(y: Symbols) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trainer:
-    """AdaGrad on NCE.  The classes' noise is shared by a batch, a token's word noise is drawn from its class."""
+    """AdaGrad on NCE.  The classes' noise is shared by a batch, a token's word noise is drawn from its class.
+
+    Parameters that move together are rows of one array: of `words`, a target and its bias, of `groups` a class's."""
 
     def __init__(self, model: Model, y: Symbols, s: Settings, seed: int):
-        self.m, self.y, self.s, self.rng = model.copy(), y, s, np.random.default_rng(seed)
-        self.sums = [np.full_like(x, s.calm) for x in self.m.parts()]
+        self.y, self.s, self.rng = y, s, np.random.default_rng(seed)
+        m, d = model.copy(), s.factors
+        self.words, self.groups = np.c_[m.target, m.bias], np.c_[m.classes, m.class_bias]
+        self.m = Model(m.context, self.words[:, :d], self.words[:, d], self.groups[:, :d], self.groups[:, d], m.mix)
+        self.of_context, self.of_words, self.of_groups, self.of_mix = (np.full_like(x, s.calm) for x in (m.context, self.words, self.groups, m.mix))
         self.word, self.group = _shares(y)
         self.class_of, self.total = y.class_of, np.concatenate([[0.0], np.cumsum(y.size + 1.0)])
         self.log_word = np.log(s.word_noise * self.word).astype(np.float32)
         self.log_group = np.log(s.class_noise * self.group).astype(np.float32)
+        self.to_group = np.cumsum(self.group)[:-1]
+        self.first, self.last = y.cut[:-1].astype(np.int64), y.cut[1:].astype(np.int64) - 1
+        self.low, self.width = self.total[y.cut[:-1]], self.total[y.cut[1:]] - self.total[y.cut[:-1]]
+        self.alone = self.first == self.last
+        self.sorts = np.uint16 if len(y.size) < 1 << 16 else np.int32  # two bytes are sorted by radix
         self.met = np.zeros(len(y.size), np.int64)
         self.steps = 0
 
@@ -303,52 +313,75 @@ class Trainer:
         self.met += np.bincount(row[at], minlength=len(self.met))
         for k in range(0, len(at), self.s.batch):
             some = at[k : k + self.s.batch]
+            some = some[np.argsort(row[some].astype(self.sorts), kind="stable")]
             self.step(row[some - 1], row[some - 2], row[some])
 
-    def update(self, part: int, rows, grad: np.ndarray) -> None:
-        x, q = self.m.parts()[part], self.sums[part]
-        sums = q[rows] + np.square(grad)
+    def update(self, x: np.ndarray, q: np.ndarray, rows, grad: np.ndarray) -> None:
+        sums = np.square(grad)
+        sums += q[rows] if isinstance(rows, slice) else q.take(rows, 0)
         q[rows] = sums
-        x[rows] -= self.s.rate * grad / np.sqrt(sums)
-
-    def scatter(self, rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(rows)
-        rows = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        return rows[first], np.add.reduceat(grad[order], first)
+        np.sqrt(sums, out=sums)
+        np.divide(grad, sums, out=grad)
+        grad *= self.s.rate
+        np.subtract(x[rows] if isinstance(rows, slice) else x.take(rows, 0), grad, out=grad)
+        x[rows] = grad
+
+    def order(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the rows, the different ones in it, and where they begin there."""
+        order = np.argsort(rows.astype(self.sorts), kind="stable")
+        rows = rows.take(order)
+        first = _begins(rows)
+        return order, rows[first], first
 
     def step(self, near: np.ndarray, far: np.ndarray, w: np.ndarray) -> None:
-        m, s, rng, n = self.m, self.s, self.rng, len(w)
+        """w rises."""
+        m, s, rng, n, d = self.m, self.s, self.rng, len(w), self.s.factors
         self.steps += 1
-        r1, r2 = m.context[near], m.context[far]
-        h = r1 * m.mix[0] + r2 * m.mix[1]
-        one = lambda x: (1 / (1 + np.exp(-x))).astype(np.float32)
+        r1, r2 = m.context.take(near, 0), m.context.take(far, 0)
+        h = np.ones((n, d + 1), np.float32)  # the last factor is that of the bias
+        np.multiply(r1, m.mix[0], out=h[:, :d])
+        h[:, :d] += r2 * m.mix[1]
+        one = lambda x: 1 / (1 + np.exp(-x))
         # the class against noise classes
-        own = self.class_of[w]
-        k = rng.choice(len(self.group), s.class_noise, p=self.group).astype(np.int32)
-        pos = (one((h * m.classes[own]).sum(1) + m.class_bias[own] - self.log_group[own]) - 1)
-        neg = one(h @ m.classes[k].T + (m.class_bias[k] - self.log_group[k]))
-        dh = pos[:, None] * m.classes[own] + neg @ m.classes[k]
-        rows, grad = self.scatter(np.concatenate([own, k]), np.concatenate([np.concatenate([pos[:, None] * h, pos[:, None]], 1), np.concatenate([neg.T @ h, neg.sum(0)[:, None]], 1)]))
+        own = self.class_of.take(w)
+        k = np.searchsorted(self.to_group, rng.random(s.class_noise), "right")
+        mine, noise = self.groups.take(own, 0), self.groups.take(k, 0)
+        pos = one(np.einsum("bd,bd->b", h, mine) - self.log_group.take(own)) - 1
+        neg = one(h @ noise.T - self.log_group[k])
+        dh = neg @ noise
+        mine *= pos[:, None]
+        dh += mine
+        grad_groups = np.zeros_like(self.groups)
+        begins = _begins(own)
+        grad_groups[own[begins]] = np.add.reduceat(h * pos[:, None], begins)
+        np.add.at(grad_groups, k, neg.T @ h)
         # the word against noise words of its class
-        lo, hi = self.total[self.y.cut[own]], self.total[self.y.cut[own + 1]]
-        drawn = np.searchsorted(self.total, lo[:, None] + rng.random((n, s.word_noise)) * (hi - lo)[:, None], "right") - 1
-        drawn = np.clip(drawn, self.y.cut[own][:, None], self.y.cut[own + 1][:, None] - 1).astype(np.int32)
-        every = np.concatenate([w[:, None], drawn], 1)
-        q = m.target[every]
-        e = one(np.einsum("bd,bjd->bj", h, q) + m.bias[every] - self.log_word[every])
+        drawn = np.searchsorted(self.total, self.low.take(own)[:, None] + rng.random((n, s.word_noise)) * self.width.take(own)[:, None], "right") - 1
+        every = np.empty((n, 1 + s.word_noise), np.int64)
+        every[:, 0] = w
+        np.clip(drawn, self.first.take(own)[:, None], self.last.take(own)[:, None], out=every[:, 1:])
+        q = self.words.take(every, 0)
+        e = one(np.einsum("bd,bjd->bj", h, q) - self.log_word.take(every))
         e[:, 0] -= 1
-        e[self.y.cut[own + 1] - self.y.cut[own] == 1] = 0
+        if self.alone.any():
+            e[self.alone[own]] = 0
         dh += np.einsum("bj,bjd->bd", e, q)
-        several = (e[:, :, None] * h[:, None, :]).reshape(-1, s.factors)
-        words_, grad_words = self.scatter(every.ravel(), np.concatenate([several, e.reshape(-1, 1)], 1))
-        near_far, grad_context = self.scatter(np.concatenate([near, far]), np.concatenate([dh * m.mix[0], dh * m.mix[1]]))
-        self.update(0, near_far, grad_context)
-        self.update(1, words_, grad_words[:, :-1])
-        self.update(2, words_, grad_words[:, -1])
-        self.update(3, rows, grad[:, :-1])
-        self.update(4, rows, grad[:, -1])
-        self.update(5, slice(None), np.stack([(dh * r1).sum(0), (dh * r2).sum(0)]))
+        order, words, begins = self.order(every.ravel())
+        several = h.take(order // (1 + s.word_noise), 0)
+        several *= e.ravel().take(order)[:, None]
+        grad_words = np.add.reduceat(several, begins)
+        dh = dh[:, :d]
+        order, near_far, begins = self.order(np.concatenate([near, far]))
+        grad_context = np.add.reduceat(np.concatenate([dh * m.mix[0], dh * m.mix[1]]).take(order, 0), begins)
+        self.update(m.context, self.of_context, near_far, grad_context)
+        self.update(self.words, self.of_words, words, grad_words)
+        self.update(self.groups, self.of_groups, slice(None), grad_groups)
+        self.update(m.mix, self.of_mix, slice(None), np.stack([np.einsum("bd,bd->d", dh, r1), np.einsum("bd,bd->d", dh, r2)]))
+
+
+def _begins(rows: np.ndarray) -> np.ndarray:
+    """Where equal rows that stand together begin."""
+    return np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
 
 
 # training on shards

@@ -265,6 +265,43 @@ def test_every_token_trains_and_is_counted():
     assert (trainer.m.target[:2] == before.target[:2]).all()  # alone in their classes
 
 
+def test_a_step_is_adagrad_on_the_noise_contrastive_loss():
+    s = lbl.Settings(factors=3, class_noise=4, word_noise=2)
+    y = _symbols([50, 40, 30, 9, 5, 4, 2, 1], [0, 1, 3, 8])
+    rng = np.random.default_rng(4)
+    model = lbl.Model(*(rng.normal(size=x.shape).astype(np.float32) for x in lbl.start(y, s).parts()))
+    near, far, w = rng.integers(8, size=(3, 20))
+    w.sort()
+    trainer = lbl.Trainer(model, y, s, 1)
+    trainer.rng, draws = np.random.default_rng(9), np.random.default_rng(9)
+    sums = [np.full(x.shape, s.calm) for x in model.parts()]
+    want = [x.astype(float) for x in model.parts()]
+    for _ in range(2):
+        trainer.step(near.astype(np.int32), far.astype(np.int32), w.astype(np.int32))
+        noise = np.searchsorted(np.cumsum(trainer.group), draws.random(s.class_noise), "right")
+        at = draws.random((len(w), s.word_noise))
+        context, target, bias, classes, class_bias, mix = want
+        grad = [np.zeros(x.shape) for x in want]
+        for i, (a, b, x) in enumerate(zip(near, far, w, strict=True)):
+            h, own, dh = context[a] * mix[0] + context[b] * mix[1], y.class_of[x], np.zeros(s.factors)
+            lo, hi = trainer.total[y.cut[own]], trainer.total[y.cut[own + 1]]
+            words = [x, *(int(np.searchsorted(trainer.total, lo + u * (hi - lo), "right")) - 1 for u in at[i])]
+            for q, c, share, kept, each in ((3, 4, s.class_noise * trainer.group, True, [own, *noise]), (1, 2, s.word_noise * trainer.word, y.cut[own + 1] - y.cut[own] > 1, words)):
+                for j, k in enumerate(each):
+                    e = (1 / (1 + math.exp(-(h @ want[q][k] + want[c][k] - math.log(share[k])))) - (j == 0)) * kept
+                    dh += e * want[q][k]
+                    grad[q][k] += e * h
+                    grad[c][k] += e
+            grad[0][a] += dh * mix[0]
+            grad[0][b] += dh * mix[1]
+            grad[5] += dh * context[a], dh * context[b]
+        for x, q, g in zip(want, sums, grad, strict=True):
+            q += g * g
+            x -= s.rate * g / np.sqrt(q)
+    for got, x in zip(trainer.m.parts(), want, strict=True):
+        assert np.allclose(got, x, atol=1e-4)
+
+
 def test_probabilities_of_extreme_scores_are_normalised():
     x = np.array([[100, 99, 0], [-90, -91, -92], [0, 1, 2], [80, -80, 0]], np.float32)
     for rows in (x, x[1:3], x[2:3]):

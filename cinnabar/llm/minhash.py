@@ -12,7 +12,8 @@ is confirmed on the full shingle sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinnabar.llm.common import connected_components, salted_join, slices, stage, whole
+from cinnabar.llm.common import connected_components, drop, salted_join, slices, stage, whole
 
 
 @dataclass(frozen=True)
@@ -33,8 +34,9 @@ class Settings:
     rows: int = 6
     #: A pair goes to verification if so many coordinates agree: 5.6 standard deviations below the threshold's mean.
     least_equal: float = 0.70
-    chunk: int = 1024  # members of a bucket that one unit of work holds half of, by their sketches
-    set_chunk: int = 256  # and with their shingle sets
+    chunk: int = 1024  # members of a bucket that one unit of work holds half of, by their sketches (in large ones up to eight times)
+    set_chunk: int = 256  # and with their shingle sets, or up to eight times as many while no set of the bucket makes it more than
+    set_codes: int = 1 << 18  # shingles
     hot: int = 1000  # a bucket with more nodes meets its facts in a salted join
     broadcast_ids: int = 1_000_000  # more ids than this meet the texts in a shuffle
 
@@ -166,24 +168,39 @@ def hot_join(left: DataFrame, right: DataFrame, hot: Column) -> DataFrame:
     return salted_join(left, few, ["bh"], staged=True).unionByName(cold)
 
 
-def facts(members: DataFrame) -> DataFrame:
-    """bh, main (its largest component), n_main, n_rest: of buckets with several components.  members: bh, node, comp."""
-    sizes = members.groupBy("bh", "comp").agg(F.count("*").alias("n"))
-    each = sizes.groupBy("bh").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("comps"))
-    return each.where("comps > 1").select("bh", "main", "n_main", (F.col("n") - F.col("n_main")).alias("n_rest"))
+def facts(members: DataFrame, *most: str) -> DataFrame:
+    """bh, main (its largest component), n_main, n_rest, and the greatest of further columns: of buckets with several
+    components.  members: bh, node, comp."""
+    sizes = members.groupBy("bh", "comp").agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in most))
+    each = sizes.groupBy("bh").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("comps"), *(F.max(c).alias(c) for c in most))
+    return each.where("comps > 1").select("bh", "main", "n_main", (F.col("n") - F.col("n_main")).alias("n_rest"), *most)
 
 
-def units(members: DataFrame, chunk: int, *carried: str) -> DataFrame:
+def by_sketch(s: Settings) -> Callable[[Column], Column]:
+    """Members of a chunk, by how many are dealt: half of them within bounds, so that few copies are dealt."""
+    return lambda n: F.least(F.lit(8 * s.chunk), F.greatest(F.lit(s.chunk), F.ceil(n / 2)))
+
+
+def by_set(s: Settings) -> Callable[[Column], Column]:
+    """Members of a chunk, by the longest set of their bucket."""
+    return lambda _: F.greatest(F.lit(s.set_chunk), F.least(F.lit(8 * s.set_chunk), F.floor(F.lit(s.set_codes) / F.col("longest"))))
+
+
+def units(members: DataFrame, chunk: int | Callable[[Column], Column], *carried: str) -> DataFrame:
     """bh, lo, hi, first, then the carried columns, sorted by unit.  A unit is a pair of chunks of a bucket's members
     outside its largest component (lo, hi >= 0), or such a chunk and one of that component (lo >= 0, hi < 0).
-    members have the facts of their bucket."""
-    chunks = lambda n: F.ceil(F.col(n) / chunk).cast("int")
+    A bucket of one chunk in all is one unit.  members have the facts of their bucket; chunk may follow from them and
+    from how many are dealt."""
+    size = chunk if callable(chunk) else lambda _: F.lit(chunk)
+    chunks = lambda n: F.ceil(F.col(n) / size(F.col(n))).cast("int")
+    every = F.col("n_main") + F.col("n_rest")
+    one = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(True).alias("first")))
     main = F.col("comp") == F.col("main")
     at = F.pmod(F.xxhash64("node"), F.when(main, chunks("n_main")).otherwise(chunks("n_rest"))).cast("int")
     rest = F.transform(F.sequence(F.lit(0), chunks("n_rest") - 1), lambda j: F.struct(F.least("_i", j).alias("lo"), F.greatest("_i", j).alias("hi"), (F.col("_i") <= j).alias("first")))
     to_main = F.transform(F.sequence(F.lit(1), chunks("n_main")), lambda j: F.struct(F.col("_i").alias("lo"), (-j).alias("hi"), F.lit(True).alias("first")))
     of_main = F.transform(F.sequence(F.lit(0), chunks("n_rest") - 1), lambda j: F.struct(j.alias("lo"), (-F.col("_i") - 1).alias("hi"), F.lit(False).alias("first")))
-    dealt = members.withColumn("_i", at).withColumn("_u", F.explode(F.when(main, of_main).otherwise(F.concat(rest, to_main))))
+    dealt = members.withColumn("_i", at).withColumn("_u", F.explode(F.when(every <= size(every), one).when(main, of_main).otherwise(F.concat(rest, to_main))))
     unit = dealt.select("bh", "_u.lo", "_u.hi", "_u.first", *carried)
     return unit.repartition("bh", "lo", "hi").sortWithinPartitions("bh", "lo", "hi", "node")
 
@@ -205,7 +222,12 @@ def promising(rows: list[tuple], s: Settings) -> Iterator[tuple[tuple, list[tupl
     """A member and those it may link with across components, by size and sketch; a pair appears in the bucket of
     its first common band only.  rows: bh, lo, hi, first, node, comp, n, sketch, bands, ..."""
     square = rows[0][1] == rows[0][2]
-    left = rows if square else [r for r in rows if r[3]]
+    if square:  # the largest component's members stand last and are no left sides, as they meet only each other
+        main = Counter(r[5] for r in rows).most_common(1)[0][0]
+        left = [r for r in rows if r[5] != main]
+        rows = left + [r for r in rows if r[5] == main]
+    else:
+        left = [r for r in rows if r[3]]
     right = rows if square else [r for r in rows if not r[3]]
     if not left or not right:
         return
@@ -229,19 +251,45 @@ def promising(rows: list[tuple], s: Settings) -> Iterator[tuple[tuple, list[tupl
 
 
 def flagged(members: DataFrame, s: Settings) -> DataFrame:
-    """bh, node: the members of a bucket that may link across components there."""
+    """bh, node, longest (its set): the members of a bucket that may link across components there."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for rows in by_unit(batches):
-            some: set[int] = set()
+            some: set[tuple[int, int]] = set()
             for r, partners in promising(rows, s):
-                some.add(r[4])
-                some.update(x[4] for x in partners)
+                some.add((r[4], r[6]))
+                some.update((x[4], x[6]) for x in partners)
             if some:
-                yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]] * len(some), pa.int64()), pa.array(sorted(some), pa.int64())], ["bh", "node"])
+                node, n = zip(*sorted(some), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([rows[0][0]] * len(some), node, n)], ["bh", "node", "longest"])
 
     carried = ["node", "comp", "n", "sketch", "bands"]
-    return units(members, s.chunk, *carried).mapInArrow(run, "bh bigint, node bigint").distinct()
+    found = units(members, by_sketch(s), *carried).mapInArrow(run, "bh bigint, node bigint, longest bigint")
+    return found.groupBy("bh", "node").agg(F.max("longest").alias("longest"))
+
+
+class Shared:
+    """How many shingles a row of a unit shares with others; rows hold their sets in column 9.  Against many others
+    the sets are numbered once a unit, while that is small."""
+
+    def __init__(self, rows: list[tuple], many: int = 32, most: int = 1_000_000):
+        self.rows, self.many = rows, many if sum(len(r[9]) for r in rows) <= 8 * most else len(rows) + 1
+        self.numbers: dict[int, np.ndarray] = {}
+
+    def __call__(self, r: tuple, others: list[tuple]) -> np.ndarray:
+        if len(others) < self.many:
+            codes = np.frombuffer(r[9], np.uint64)
+            return np.array([len(np.intersect1d(codes, np.frombuffer(x[9], np.uint64), assume_unique=True)) for x in others])
+        if not self.numbers:
+            flat, at = np.unique(np.frombuffer(b"".join(x[9] for x in self.rows), np.uint64), return_inverse=True)
+            ends = np.cumsum([len(x[9]) // 8 for x in self.rows])[:-1]
+            self.numbers = {id(x): part for x, part in zip(self.rows, np.split(at.astype(np.int32), ends), strict=True)}
+            self.marks = np.zeros(len(flat), np.int32)
+        own, sets = self.numbers[id(r)], [self.numbers[id(x)] for x in others]
+        self.marks[own] = 1
+        counts = np.add.reduceat(self.marks[np.concatenate(sets)], np.cumsum([0, *map(len, sets[:-1])]))  # no set is empty
+        self.marks[own] = 0
+        return counts
 
 
 def link(members: DataFrame, s: Settings) -> DataFrame:
@@ -256,11 +304,11 @@ def link(members: DataFrame, s: Settings) -> DataFrame:
                     root[x] = x = root.get(root[x], root[x])
                 return x
 
-            out = []
+            out, shared = [], Shared(rows)
             for r, partners in promising(rows, s):
-                codes = np.frombuffer(r[9], np.uint64)
-                for x in partners:
-                    if find(r[5]) != find(x[5]) and similar(codes, np.frombuffer(x[9], np.uint64), s.percent):
+                partners = [x for x in partners if find(r[5]) != find(x[5])]
+                for x, both in zip(partners, shared(r, partners).tolist(), strict=True):
+                    if both and 100 * both >= s.percent * ((len(r[9]) + len(x[9])) // 8 - both) and find(r[5]) != find(x[5]):
                         root[find(r[5])] = find(x[5])
                         out.append((r[4], x[4]))
             if out:
@@ -268,7 +316,7 @@ def link(members: DataFrame, s: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
     carried = ["node", "comp", "n", "sketch", "bands", "codes"]
-    return stage(units(members, s.set_chunk, *carried).mapInArrow(run, "a bigint, b bigint"), "across")
+    return stage(units(members, by_set(s), *carried).mapInArrow(run, "a bigint, b bigint"), "across")
 
 
 def shingle_sets(texts: DataFrame, s: Settings) -> DataFrame:
@@ -291,19 +339,24 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     ignored.
     """
     s = settings
-    prints = fingerprints(docs, s, doc_id, text)
+    full = fingerprints(docs, s, doc_id, text)
+    prints = stage(full.select("doc_id", "n_shingles", "key"), "prints")
     named = prints.where("doc_id is not null and n_shingles > 0")
     classes = stage(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    nodes = stage(named.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["key", "doc_id"], "left_semi"), "nodes")
+    nodes = stage(full.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), "key"), ["key", "doc_id"], "left_semi"), "nodes")
+    drop(full)
     entries = band_entries(nodes, s)
     buckets = stage(entries.groupBy("bh").agg(F.count("*").alias("many"), F.min("node").alias("least")).where("many > 1"), "buckets")
     hot = F.col("many") > s.hot
     members = stage(hot_join(entries, buckets, hot), "members")  # only of buckets with several nodes
     candidates = stage(members.groupBy("node").agg(F.min("least").alias("least")), "candidates")
     wanted = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).cast("string").alias("text")).where("text is not null")
-    texts = stage(salted_join(wanted, candidates.select("node"), ["node"], "left_semi", salts=1, most=s.broadcast_ids, staged=True), "texts")
+    texts = salted_join(wanted, candidates.select("node"), ["node"], "left_semi", salts=1, most=s.broadcast_ids, staged=True)
+    kept_texts = [stage(texts, "texts")] if candidates.count() > s.broadcast_ids else []  # else read where they lie
+    texts = kept_texts[0] if kept_texts else texts
     sketches = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands")
     sketches = stage(sketches.join(candidates, "node", "left_semi").dropDuplicates(["node", "sketch"]), "sketches")
+    drop(nodes)
     # rows with one id and several texts make one document
     print_ = F.xxhash64("key")
     several = named.groupBy("doc_id").agg(F.min(print_).alias("lo"), F.max(print_).alias("hi")).where("lo <> hi").select("doc_id")
@@ -312,13 +365,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     comps = connected_components(links)
     labelled = stage(members.join(comps, "node", "left").select("bh", "node", F.coalesce("component", "node").alias("comp")), "labelled")
     mixed = stage(facts(labelled), "mixed")
+    drop(members, *kept_texts)
     large = F.col("n_main") + F.col("n_rest") > s.hot
     some = hot_join(labelled, mixed, large).join(sketches, "node")
     open_ = stage(flagged(some, s), "open")
-    sets = stage(shingle_sets(texts.join(open_.select("node").distinct(), "node", "left_semi"), s), "sets")
+    few = stage(open_.select("node").distinct(), "few")
+    sets = stage(shingle_sets(salted_join(wanted, few, ["node"], "left_semi", salts=1, most=s.broadcast_ids, staged=True), s), "sets")
     apart = stage(open_.join(labelled.distinct(), ["bh", "node"]), "apart")
-    late = hot_join(apart, stage(facts(apart), "mixed"), large).join(sketches, "node").join(sets, "node")
-    comps = connected_components(links.unionByName(link(late, s)))
+    drop(labelled)
+    late = hot_join(apart.drop("longest"), stage(facts(apart, "longest"), "mixed"), large).join(sketches, "node").join(sets, "node")
+    across = link(late, s)
+    drop(sketches, sets)
+    comps = connected_components(links.unionByName(across))
     small = classes.join(comps, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"), "copies", "rep")
     moved = small.where("copies > 1 or component <> rep").select("key", "component")
     out = salted_join(prints.select("doc_id", "n_shingles", "key"), moved, ["key"], "left")

@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ import pytest
 
 import corpus_pipeline
 from cinnabar.llm import embed_join, host_rules, html_wrapper, lbl, minhash, quality_fm, secret_ledger
-from cinnabar.llm.common import connected_components, salted_join
+from cinnabar.llm.common import connected_components, salted_join, shared_dir
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -417,6 +418,39 @@ def test_a_bucket_with_one_large_group_deals_it_out_once(spark):
     assert not any(r[0] == 8 for u in units.values() for r in u)
 
 
+def test_short_sets_are_dealt_in_larger_chunks_and_long_ones_are_not(spark):
+    """600 members of one group and 600 others make 3 chunks each of 256, one of 1747."""
+    s, rows = minhash.Settings(), {}
+    for longest in (150, 20_000):
+        members = spark.createDataFrame([(7, i, 0, longest) for i in range(600)] + [(7, 1000 + i, i + 1, 150) for i in range(600)], "bh long, node long, comp long, longest long")
+        both = members.drop("longest").join(minhash.facts(members, "longest"), "bh")
+        rows[longest] = minhash.units(both, minhash.by_set(s), "node", "comp").count()
+    assert rows == {150: 1200, 20_000: 600 * 6 + 600 * 3}
+    small = spark.createDataFrame([(7, i, i % 3, 150) for i in range(200)], "bh long, node long, comp long, longest long")
+    assert minhash.units(small.drop("longest").join(minhash.facts(small, "longest"), "bh"), minhash.by_set(s), "node", "comp").count() == 200
+    n = spark.createDataFrame([(k,) for k in (1, 4096, 8000, 100_000)], "n long")
+    assert [r[0] for r in n.select(minhash.by_sketch(s)(minhash.F.col("n"))).collect()] == [1024, 2048, 4000, 8192]
+
+
+def test_shared_shingles_of_many_and_few(spark):
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 300, r.integers(1, 200)).astype(np.uint64)) for _ in range(80)]
+    rows = [(*range(9), x.tobytes()) for x in sets]
+    for shared in (minhash.Shared(rows), minhash.Shared(rows, most=10)):
+        for k in range(80):
+            for others in ([*range(80)], [*range(k, 80, 7)]):
+                assert shared(rows[k], [rows[i] for i in others]).tolist() == [len(np.intersect1d(sets[k], sets[i])) for i in others]
+
+
+def test_tables_that_nothing_reads_again_are_removed(spark):
+    at = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(at.glob("*")) if at.exists() else set()
+    got = minhash.near_duplicates(spark.createDataFrame([(i, f"a b c d e f g h i j k l m n o p q r {'s' * (i % 2)}") for i in range(6)], "doc_id long, text string"))
+    left = {p.name.rpartition("-")[0] for p in set(at.glob("*")) - before}
+    assert left and not left & {"fingerprints", "nodes", "members", "texts", "labelled", "sketches", "sets"}
+    assert [r["component_id"] for r in got.orderBy("doc_id").collect()] == [0] * 6
+
+
 def test_long_texts_and_hot_buckets_give_the_same_links(spark):
     r = random.Random(8)
     base = [f"v{r.randrange(10**6)}" for _ in range(30_000)]
